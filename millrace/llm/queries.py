@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import encode, mixing
-from millrace.session import table
+from millrace.llm import encode, mixing, pii
+from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +67,24 @@ FROM plan"""
 @query
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _texts_with_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables as (table_name, record_key, text), repeats of a record once."""
+    entries = table(spark, d, "dataset_entries").select(F.lit("dataset_entries").alias("table_name"), F.col("id").alias("record_key"), "text")
+    alpaca = table(spark, d, "alpaca_records").select(F.lit("alpaca_records").alias("table_name"), F.col("record_id").cast("string").alias("record_key"), F.col("output").alias("text"))
+    return entries.unionByName(alpaca).where("text is not null")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = materialize(pii.proposed_spans(_texts_with_personal_data(spark, d)))
+    places = pii.found_places(spans, pii.fit(spans))
+    return places.select("table_name", "record_key", "pii_type", "start_pos").distinct()
+
+
+@query
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts_with_personal_data(spark, d)
+    weights = pii.fit(materialize(pii.proposed_spans(texts)))
+    return pii.redact(texts, weights).select("table_name", "record_key", "redacted").distinct()
