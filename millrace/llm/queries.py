@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, mixing, pii
+from millrace.llm import encode, mixing, pii, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,35 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts_with_personal_data(spark, d)
     weights = pii.fit(materialize(pii.proposed_spans(texts)))
     return pii.redact(texts, weights).select("table_name", "record_key", "redacted").distinct()
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "dataset_entries").select("id", F.col("word_count").alias("stored"), "text")
+    measured = materialize(textstats.statistics(entries, table(spark, d, "common_words")))
+    judged = textstats.judge(measured, textstats.prose_model(measured))
+    kinds = F.when(F.col("kind").isin("list", "table", "junk"), F.col("kind"))
+    counts = F.when(textstats.count_is_wrong(F.col("stored"), F.col("word_count")), F.lit("word_count"))
+    return judged.select("id", F.explode(F.array_compact(F.array(kinds, counts))).alias("finding")).distinct()
+
+
+@query
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "dataset_entries").select("id", "text", "quality_score")
+    measured = materialize(textstats.statistics(entries, table(spark, d, "common_words")))
+    judged = textstats.judge(measured, textstats.prose_model(measured))
+    named = [F.round(F.col("stats")[i], 6).alias(n) for i, n in enumerate(textstats.STATISTICS)]
+    parts = F.map_from_arrays(F.array(*map(F.lit, textstats.STATISTICS)), F.col("contributions"))
+    return judged.select("id", "quality_score", "word_count", "lang", "kind", "distance", *named, F.to_json(parts).alias("contributions")).distinct()
+
+
+@query
+def p6_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = F.size(F.filter(F.split("text", "[ \t\r\n]+", -1), lambda w: w != ""))
+    entries = table(spark, d, "dataset_entries").where("text is not null").withColumn("counted", words)
+    return entries.where(textstats.count_is_wrong(F.col("word_count"), F.col("counted"))).select("id", "word_count", "counted").distinct()
+
+
+SQL["p6_word_counts"] = r"""
+WITH e AS (SELECT id, word_count, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) AS counted FROM dataset_entries WHERE text IS NOT NULL)
+SELECT DISTINCT id, word_count, CAST(counted AS INTEGER) AS counted FROM e WHERE counted >= 20 AND abs(word_count - counted) * 10 > counted"""
