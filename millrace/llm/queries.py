@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, mixing, pii, textstats
+from millrace.llm import encode, languages, mixing, pii, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,21 @@ def p6_word_counts(spark: SparkSession, d: str) -> DataFrame:
 SQL["p6_word_counts"] = r"""
 WITH e AS (SELECT id, word_count, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) AS counted FROM dataset_entries WHERE text IS NOT NULL)
 SELECT DISTINCT id, word_count, CAST(counted AS INTEGER) AS counted FROM e WHERE counted >= 20 AND abs(word_count - counted) * 10 > counted"""
+
+
+def _language_model(spark: SparkSession, d: str) -> languages.LanguageModel:
+    return languages.fit_model(languages.training_sentences(table(spark, d, "dataset_entries"), table(spark, d, "common_words")))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "dataset_entries").select("id", "language", "text")
+    found = languages.mislabelled_segments(entries, _language_model(spark, d), table(spark, d, "common_words"))
+    return found.select("id", "segment_no", "lang").distinct()
+
+
+@query
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    entries = table(spark, d, "dataset_entries").select("id", "text")
+    labelled = languages.label_segments(entries, _language_model(spark, d))
+    return labelled.select("id", F.explode("segments").alias("s")).select("id", "s.segment_no", "s.lang", "s.confidence", "s.words").distinct()

@@ -211,6 +211,12 @@ def measure(text: str | None, common: dict[str, frozenset[str]]) -> tuple[int, s
     return tokens, lang, kind, [float(s) for s in stats]
 
 
+def reads_as_prose(measured: tuple[int, str | None, str, list[float]]) -> bool:
+    """Most words are in lines of sentences that use common words."""
+    stats = measured[3]
+    return measured[2] == "text" and stats[8] >= 0.5 and stats[5] >= 0.1
+
+
 @functools.lru_cache(8)
 def _union(sets: tuple[frozenset[str], ...]) -> frozenset[str]:
     return frozenset().union(*sets)
