@@ -15,6 +15,8 @@ rows give equal results; texts are searched whole; without any span the classifi
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -69,14 +71,17 @@ ORGANISATION = frozenset("premio prize award colegio escola escuela ecole school
 CONNECTORS = frozenset("de da do dos das del di du la las los von van e y".split())
 OPENERS = frozenset("ontem hoje amanha agora depois antes assim entao ainda segundo conforme porem contudo entretanto mas logo tambem aqui ali yesterday today tomorrow then now later however also still meanwhile so ayer hoy manana ahora despues luego pero hier demain ensuite sim nao yes no".split())
 
-_SPACES = {c: " " for c in map(ord, " ​‌‍  ﻿ ")}
+_SPACES = "\u00a0\u2002\u2003\u2009\u200a\u200b\u200c\u200d\u202f\u2060\u3000\ufeff"
 _AT = r"(?:[ \t]?@[ \t]?|[ \t]*[\[({<][ \t]*(?:at|arroba|@)[ \t]*[\])}>][ \t]*|[ \t]+(?:arroba|at)[ \t]+)"
 _DOT = r"(?:\.|[ \t]*[\[({][ \t]*(?:\.|dot|ponto|punto|point)[ \t]*[\])}][ \t]*|[ \t]+(?:dot|ponto|punto|point)[ \t]+)"
 EMAIL = regex.compile(rf"(?i)(?<![\w.+%@\-])(?P<local>\w[\w.+%\-]*)(?P<at>{_AT})(?P<domain>[\p{{L}}\d\-]+(?:{_DOT}[\p{{L}}\d\-]+)+)")
 NUMBER = regex.compile(
     r"(?<![\w.,/\-+$€£#])(?P<number>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|0?xx\d{2}|0xx\d{2}|\d+|[A-Z]{1,3}\d)(?:(?:[ ]{1,3}|[.\-/]?)(?:\(\d{1,4}\)[ ]*)?\d+)*(?:-[\dXx])?)(?![\w]|[.,/\-]\d|%)"
 )
+DIGITS = re.compile(r"\d[\d .\-/()x]{5,}\d|\d{7}")
 STREET = r"rua|r\.|avenida|av\.|travessa|tv\.|alameda|al\.|estrada|largo|praça|praca|rodovia|rod\.|viela|ladeira|beco|calle|c/|carrera|paseo|camino|rue|boulevard|bd\.|chemin|impasse"
+STREET_STARTS = ("rua ", "r. ", "avenida ", "av. ", "travessa ", "tv. ", "alameda ", "al. ", "estrada ", "largo ", "praça ", "praca ", "rodovia ", "rod. ", "viela ", "ladeira ", "beco ", "calle ", "c/ ", "carrera ", "paseo ", "camino ", "rue ", "boulevard ", "bd. ", "chemin ", "impasse ")
+STREET_ENDS = (" street", " st.", " road", " rd.", " ave", " lane", " ln.", " drive", " dr.", " boulevard", " blvd", " court", " square", " terrace", " way", " close", " crescent", " place")
 ADDRESS = regex.compile(
     rf"(?i)(?<![\w.])(?P<kind>{STREET})[ ]+(?P<name>(?:[^\W\d_][\w'’.\-]*[ ]+){{0,5}}?[^\W\d_][\w'’\-]*)(?:[ ]*,)?[ ]*(?P<number>s/n\b|(?:n\.?[ºo°]?|nº|núm\.?|número|numero|no\.|#)?[ ]*\d{{1,5}}\b)"
 )
@@ -90,6 +95,7 @@ CAPITAL = regex.compile(r"(?<![\w@.+\-])\p{Lu}[\p{L}\p{M}'’\-]*")
 FOLLOWS = regex.compile(r"[ \n]+(?:(?:de|da|do|dos|das|del|di|du|la|von|van|DE|DA|DO|DOS|DAS|DEL|LA|Da|De|Do|Dos|Das)[ \n]+)?(?:\p{Lu}\.[ ]+)?(?P<next>\p{Lu}[\p{L}\p{M}'’\-]+)")
 
 
+@functools.lru_cache(100_000)
 def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
@@ -144,8 +150,19 @@ def _emails(text: str) -> Iterator[tuple]:
         yield "email", m.start(), m.end(), votes, before, after, "plain" if plain else at
 
 
+def _number_matches(text: str) -> Iterator[regex.Match]:
+    """Matches of NUMBER around runs of digits that are long enough for it."""
+    done = 0
+    for run in DIGITS.finditer(text):
+        if run.end() <= done:
+            continue
+        for m in NUMBER.finditer(text, max(done, run.start() - 4), min(len(text), run.end() + 4)):
+            done = m.end()
+            yield m
+
+
 def _numbers(text: str) -> Iterator[tuple]:
-    for m in NUMBER.finditer(text):
+    for m in _number_matches(text):
         value = regex.sub(r" +", " ", m["number"])
         digits = sum(c.isdigit() for c in value)
         if digits < 7 or digits > 15:
@@ -173,9 +190,9 @@ def _numbers(text: str) -> Iterator[tuple]:
             yield "id_number", m.start(), m.end(), _vote(strong, bare and not words_id) + _vote(words_id, words_phone and not words_id) + common + _vote(not phone, phone and words_phone), before, after, shape
 
 
-def _addresses(text: str) -> Iterator[tuple]:
+def _addresses(text: str, low: str) -> Iterator[tuple]:
     lower_text = text.islower()
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if any(s in low for s in STREET_STARTS) else ():
         words = [w for w in regex.split(r"[ ]+", m["name"]) if fold(w.strip(".")) not in CONNECTORS]
         if not words or not (lower_text or words[0][:1].isupper()):
             continue
@@ -184,7 +201,7 @@ def _addresses(text: str) -> Iterator[tuple]:
         votes = _vote(True) + _vote(all(w[:1].isupper() for w in words), not lower_text and not all(w[:1].isupper() for w in words)) + _vote(number == "s/n" or "," in text[m.end("name") : m.start("number") + 1] or not number[0].isdigit())
         votes += _vote(bool({"endereco", "na", "no", "em", "moro", "morador", "para", "marcada", "address", "at", "direccion", "e", "en"} & set(before[-2:])), bool({"meses", "anos", "dias", "semanas", "months"} & set(after[:1])))
         yield "address", m.start(), m.end(), votes, before, after, fold(m["kind"])
-    for m in ADDRESS_EN.finditer(text):
+    for m in ADDRESS_EN.finditer(text) if any(s in low for s in STREET_ENDS) else ():
         before, after = _around(text, m.start(), m.end())
         votes = _vote(True) + _vote(True) + _vote(bool(regex.match(r"[ ]*,[ ]*(?:apt|flat|suite|unit)", text[m.end() : m.end() + 9].lower()))) + _vote(bool({"at", "to", "address", "living", "and", "in", "live", "went", "booked"} & set(before[-1:])))
         yield "address", m.start(), m.end(), votes, before, after, fold(m["kind"])
@@ -225,12 +242,14 @@ def propose(text: str | None) -> list[tuple]:
     """Proposed spans of a text: (type, start, end, votes, features)."""
     if not text:
         return []
-    text = text.translate(_SPACES)
-    found = []
-    if "@" in text or "arroba" in text.lower() or regex.search(r"(?i)[\[({ ]at[\])} ]", text):
+    if not text.isascii():
+        for space in _SPACES:
+            text = text.replace(space, " ")
+    low, found = text.lower(), []
+    if "@" in text or "arroba" in low or regex.search(r"(?i)[\[({ ]at[\])} ]", text):
         found += _emails(text)
     found += _numbers(text)
-    found += _addresses(text)
+    found += _addresses(text, low)
     found += _names(text)
     return [(kind, start, end, votes, _features(kind, votes, before, after, shape)) for kind, start, end, votes, before, after, shape in found]
 
