@@ -209,13 +209,14 @@ def fit_model(examples: list[tuple[list[str], int]], seed: int = 7) -> LanguageM
     return model
 
 
-def training_sentences(df: DataFrame, words: DataFrame, text: str = "text", label: str = "language", documents: int = TRAIN_DOCUMENTS) -> list[tuple[list[str], int]]:
-    """Sentences of a bounded sample of documents for which label and common words agree."""
+def training_sentences(df: DataFrame, words: DataFrame, text: str = "text", label: str | None = "language", documents: int = TRAIN_DOCUMENTS) -> list[tuple[list[str], int]]:
+    """Sentences of a bounded sample of documents for which label and common words agree (without label: by common words alone)."""
     common = textstats.common_words(words)
-    sample = df.where(F.col(label).isNotNull() & (F.length(text) > 150)).select(text, label).orderBy(F.xxhash64(text, label)).limit(documents).collect()
+    stated = F.col(label) if label else F.lit("")
+    sample = df.where(stated.isNotNull() & (F.length(text) > 150)).select(text, stated).orderBy(F.xxhash64(text)).limit(documents).collect()
     examples = []
     for content, stated in sample:
-        code = language_code(stated)
+        code = language_code(stated) if label else textstats.measure(content, common)[1]
         if code not in common or code not in LANGUAGES:
             continue
         for part, _ in sentences(content):

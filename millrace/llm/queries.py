@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, languages, mixing, pii, textstats
+from millrace.llm import encode, languages, mixing, pairs, pii, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,17 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "dataset_entries").select("id", "text")
     labelled = languages.label_segments(entries, _language_model(spark, d))
     return labelled.select("id", F.explode("segments").alias("s")).select("id", "s.segment_no", "s.lang", "s.confidence", "s.words").distinct()
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["instruction", "input", "output"]
+    alpaca = table(spark, d, "alpaca_records").select(F.lit("alpaca_records").alias("table_name"), "record_id", *columns)
+    rows = table(spark, d, "instruction_rows").select(F.lit("instruction_rows").alias("table_name"), F.col("row_id").alias("record_id"), *columns)
+    return alpaca.unionByName(rows)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _pairs(spark, d)
+    examples = languages.training_sentences(found.select("output"), table(spark, d, "common_words"), "output", None)
+    return pairs.pair_defects(found, languages.fit_model(examples), table(spark, d, "common_words")).where("defect is not null").select("table_name", "record_id", "defect").distinct()
