@@ -158,7 +158,7 @@ def shortened_responses(outputs: DataFrame) -> DataFrame:
         part, held = TaskContext.get().partitionId(), None
         for batch in batches:
             texts = ([held] if held is not None else []) + batch["output"].tolist()
-            yield pd.DataFrame({"output": [a for a, b in zip(texts, texts[1:]) if b.startswith(a)]})
+            yield pd.DataFrame({"output": [a for a, b in zip(texts, texts[1:]) if b.startswith(a)]}, dtype=object)
             held = texts[-1] if texts else held
         after = next((t for p, t in shared.value if p > part), None)
         if held is not None and after is not None and after.startswith(held):
@@ -194,7 +194,7 @@ def pair_defects(pairs: DataFrame, model: LanguageModel, words: DataFrame) -> Da
             else:
                 ends = ending(answer)
                 rows.append(("truncated" if ends == "cut" else None, ends))
-        return pd.DataFrame(rows, columns=["defect", "ends"])
+        return pd.DataFrame(rows, columns=["defect", "ends"], dtype=object)
 
     judged = pairs.withColumn("j", judge(*texts))
     unsure = judged.where("j.ends = 'open'").select("output")
@@ -214,7 +214,7 @@ def asked_language(model: LanguageModel, common: dict[str, frozenset[str]], aske
     if len(hits) > 1 and hits[0][0] >= 2 and hits[0][0] >= hits[1][0] + 2:
         return hits[0][1]
     found = model.segments(asked)
-    return found[0][0] if found and found[0][1] >= 0.75 and (not hits or found[0][0] in [k for n, k in hits if n >= hits[0][0] - 1]) else None
+    return found[0][0] if found and found[0][1] >= 0.9 and (not hits or found[0][0] in [k for n, k in hits if n == hits[0][0]]) else None
 
 
 def in_other_language(model: LanguageModel, common: dict[str, frozenset[str]], asked: str | None, answer: str) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, languages, mixing, pairs, pii, textstats
+from millrace.llm import encode, languages, mixing, pairs, pii, spam, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = _pairs(spark, d)
     examples = languages.training_sentences(found.select("output"), table(spark, d, "common_words"), "output", None)
     return pairs.pair_defects(found, languages.fit_model(examples), table(spark, d, "common_words")).where("defect is not null").select("table_name", "record_id", "defect").distinct()
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    measured = materialize(spam.features(table(spark, d, "documents").select("doc_id", "site", "text"), table(spark, d, "common_words")))
+    return spam.spam_probabilities(measured, spam.fit(measured))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).where("probability > 0.5").select("doc_id").distinct()
+
+
+@query
+def p9_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("doc_id", "site", F.round("own", 6).alias("own"), F.round("host_rate", 6).alias("host_rate"), F.round("probability", 6).alias("probability")).distinct()

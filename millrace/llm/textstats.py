@@ -15,6 +15,7 @@ or a language with fewer than `LEAST` prose documents the moments of all languag
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ COMMON_ROWS = 20_000
 OUTLIER = 0.999
 
 _TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_WORD = regex.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CELL = regex.compile(r"(?i)<t[dhr]\b")
 _ITEM = regex.compile(r"(?i)<li\b")
 _RULE = regex.compile(r"[-=+|: ]{3,}")
@@ -229,7 +230,7 @@ def statistics(df: DataFrame, words: DataFrame, text: str = "text", chosen: Colu
     @F.pandas_udf("struct<word_count:int,lang:string,kind:string,stats:array<double>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [measure(t if isinstance(t, str) else None, common.value) for t in texts]
-        return pd.DataFrame({"word_count": [r[0] for r in rows], "lang": [r[1] for r in rows], "kind": [r[2] for r in rows], "stats": [r[3] for r in rows]})
+        return pd.DataFrame({"word_count": [r[0] for r in rows], "lang": [r[1] for r in rows], "kind": [r[2] for r in rows], "stats": [r[3] for r in rows]}, dtype=object)
 
     kept = [c for c in df.columns if c not in (text, "m")]
     return df.select(*kept, run(F.col(text)).alias("m"))
@@ -321,7 +322,7 @@ def judge(measured: DataFrame, model: dict) -> DataFrame:
             out["kind"].append(kind)
             out["distance"].append(round(float(d[0]), 6))
             out["contributions"].append([round(float(p), 6) for p in parts[0]])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     kept = [c for c in measured.columns if c != "m"]
     return measured.select(*kept, "m", run(F.col("m")).alias("j")).select(*kept, "m.word_count", "m.lang", "m.stats", "j.kind", "j.distance", "j.contributions")
