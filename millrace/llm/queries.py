@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, languages, mixing, pairs, pii, spam, textstats
+from millrace.llm import encode, languages, mixing, neardup, pairs, pii, spam, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("doc_id", "site", F.round("own", 6).alias("own"), F.round("host_rate", 6).alias("host_rate"), F.round("probability", 6).alias("probability")).distinct()
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.similar_pairs(table(spark, d, "dataset_entries").select("id", "title", "text"))
+    return neardup.expand_pairs(materialize(links), members)
+
+
+@query
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.similar_pairs(table(spark, d, "dataset_entries").select("id", "title", "text"))
+    return neardup.link_counts(links, members)
