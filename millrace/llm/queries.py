@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, languages, mixing, neardup, pairs, pii, spam, textstats
+from millrace.llm import encode, languages, mixing, neardup, packing, pairs, pii, spam, textstats
 from millrace.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     links, members = neardup.similar_pairs(table(spark, d, "dataset_entries").select("id", "title", "text"))
     return neardup.link_counts(links, members)
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    cluster = F.when(F.length("text") > 0, F.xxhash64("text"))
+    return materialize(table(spark, d, "documents").select("doc_id", encode.token_counts(F.col("text")).alias("tokens"), "source", cluster.alias("cluster")))
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d), table(spark, d, "pack_plans"))
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plans")
+    return packing.fill_rate(packing.pack(_sized(spark, d), plans), plans)
