@@ -1,6 +1,12 @@
-"""Registry of the core queries and of the SQL that checks them."""
+"""All core queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from importlib import import_module
+
+from millrace.plans.registry import QUERIES, SQL
+
+for _name in ("text",):
+    import_module(f"millrace.plans.queries_{_name}")
+
+__all__ = ["QUERIES", "SQL"]
