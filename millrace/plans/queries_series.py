@@ -212,12 +212,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _SER
-    + f"""SELECT event_id, n, round(coalesce(mean, 0), 4) AS mean, round(CASE WHEN n >= 2 THEN std ELSE 0 END, 4) AS std, round(CASE WHEN n >= 2 THEN hi - lo ELSE 0 END, 4) AS variation, round(CASE WHEN n >= 3 THEN slope ELSE 0 END, 4) AS trend
+    + f"""SELECT event_id, n, round(coalesce(mean, 0), 8) AS mean, round(CASE WHEN n >= 2 THEN std ELSE 0 END, 4) AS std, round(CASE WHEN n >= 2 THEN hi - lo ELSE 0 END, 4) AS variation, round(CASE WHEN n >= 3 THEN slope ELSE 0 END, 4) AS trend
 FROM (SELECT event_id, count(value) OVER f AS n, avg(value) OVER f AS mean, stddev_samp(value) OVER f AS std, max(value) OVER f AS hi, min(value) OVER f AS lo, regr_slope(value, pos) OVER f AS slope FROM s WINDOW f AS ({_O} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"""
 )
 def w01_w03_rolling(spark: SparkSession, d: str) -> DataFrame:
     r = telemetry.rolling(_events(spark, d), "value", RUN, ORDER, 50)
-    return r.select("event_id", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "variation", "trend")])
+    return r.select("event_id", "n", F.round("mean", 8).alias("mean"), *[F.round(c, 4).alias(c) for c in ("std", "variation", "trend")])
 
 
 @query(f"SELECT event_id, round(avg((value >= 0.95 * 200)::INT::DOUBLE) OVER ({_O} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS clip_frequency FROM events")
