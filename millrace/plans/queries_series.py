@@ -173,7 +173,7 @@ def a25_token_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "shard_records").rollup("source_dataset").agg(F.sum(F.when(F.col("token_count") > 0, F.col("token_count"))).alias("tokens"), F.count_distinct("record_id").alias("records"))
 
 
-@query("SELECT source_dataset, round(sum(edu_int_score * token_count) / greatest(1, sum(token_count)), 6) AS weighted, array_to_string(list_sort(list(DISTINCT subset) FILTER (subset IS NOT NULL)), ',') AS subsets FROM shard_records WHERE token_count > 0 AND edu_int_score IS NOT NULL GROUP BY source_dataset")
+@query("SELECT source_dataset, round(sum(edu_int_score * token_count) / greatest(1, sum(token_count)), 6) AS weighted, coalesce(array_to_string(list_sort(list(DISTINCT subset) FILTER (subset IS NOT NULL)), ','), '') AS subsets FROM shard_records WHERE token_count > 0 AND edu_int_score IS NOT NULL GROUP BY source_dataset")
 def a04_a05_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "shard_records").where("token_count > 0 and edu_int_score is not null")
     return rows.groupBy("source_dataset").agg(F.round(F.sum(F.col("edu_int_score") * F.col("token_count")) / F.greatest(F.lit(1), F.sum("token_count")), 6).alias("weighted"), F.array_join(F.array_sort(F.collect_set("subset")), ",").alias("subsets"))
