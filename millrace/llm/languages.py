@@ -27,7 +27,7 @@ from millrace.llm import textstats
 
 BUCKETS, DIM = 1 << 15, 16
 TRAIN_DOCUMENTS = 1500
-EPOCHS, BATCH, RATE = 4, 128, 0.5
+EPOCHS, BATCH, RATE, LEAST_STEPS = 4, 128, 0.5, 400
 SEGMENT_WORDS = 12
 STRETCH = 12
 CHANGE_COST = 4.0
@@ -171,9 +171,10 @@ def fit_model(examples: list[tuple[list[str], int]], seed: int = 7) -> LanguageM
     held, train = order[: len(order) // 10], order[len(order) // 10 :]
     embeddings, softmax, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(LANGUAGES))), np.zeros(len(LANGUAGES))
     weight = len(train) / (len(LANGUAGES) * np.maximum(1, np.bincount(target[train], minlength=len(LANGUAGES))))
-    steps = max(1, EPOCHS * ((len(train) + BATCH - 1) // BATCH))
-    step = 0
-    for _ in range(EPOCHS):
+    batches = max(1, (len(train) + BATCH - 1) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         train = rng.permutation(train)
         for i in range(0, len(train), BATCH):
             batch = train[i : i + BATCH]

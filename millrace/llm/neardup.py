@@ -32,6 +32,11 @@ from millrace.session import materialize
 
 SKETCH_BITS = 22
 SHARDS = 4
+COMMON = (1, 2, 4, 8)
+SKETCH_WORDS = 16
+"""A class has a parity sketch of so many 64-bit words; it bounds the number of different triples from below."""
+BAND_SHARES = 3
+"""A band of sizes spans a factor of 1 / share ** BAND_SHARES."""
 REGION_POSTINGS = 3_000_000
 """Regions with more postings are split by blocks of the larger texts."""
 NEEDED_CLASSES = 4_000_000
@@ -103,6 +108,15 @@ def _class_hashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return _mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64) * np.uint64(0x9E37)).view(np.int64)
 
 
+def _parity(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per text SKETCH_WORDS words: a bit is set if an odd number of triples falls on it, so two texts have at least as
+    many different triples as their sketches have different bits."""
+    width = 64 * SKETCH_WORDS
+    cell = (_mix(flat + np.uint64(5)) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * width + cell, minlength=len(counts) * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), width), axis=1).view(np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(ids, lower-case texts) of a few rows at a time."""
     for whole in batches:
@@ -137,59 +151,59 @@ def _rarity(content: DataFrame, least_words: int) -> np.ndarray:
     return rarity
 
 
-def _tiers(share: float) -> list[tuple[int, int, int]]:
+def _tiers(share: float, shards: int, common: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """(m, l, least size of the larger text): l common pivots are sure, so m in some shard."""
     found = []
-    for m in (1, 2, 4):
-        sure = SHARDS * (m - 1) + 1
+    for m in common:
+        sure = shards * (m - 1) + 1
         size = next(n for n in range(1, 10_000) if np.ceil(share * n - 1e-9) >= sure)
         found.append((m, sure, size))
     return found
 
 
 def _band(size: np.ndarray, share: float) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / -np.log(share) + 1e-9).astype(np.int64)
+    return np.floor(np.log(np.maximum(size, 1)) / (-BAND_SHARES * np.log(share)) + 1e-9).astype(np.int64)
 
 
-def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
-    """For every text and each band its larger partner can be in: region, triple, row, size (-size for the smaller role)."""
+def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: float, shards: int, tiers: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    """For every text and each band its larger partner can be in: region, triple, row, size.
+
+    In its own band a text is a larger one too and its size is positive; elsewhere it is only the smaller one: -size.
+    """
     row = np.repeat(np.arange(len(counts)), counts)
     rare = rarity[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((flat, rare, row))
     flat, rare, row = flat[order], rare[order], row[order]
     begin = np.cumsum(counts) - counts
     place = np.arange(len(flat)) - begin[row]
-    shard = (_mix(flat + np.uint64(99)) % np.uint64(SHARDS)).astype(np.int64)
-    tiers = _tiers(share)
+    shard = (_mix(flat + np.uint64(99)) % np.uint64(shards)).astype(np.int64)
     out: list[list[np.ndarray]] = [[], [], [], []]
     largest = np.floor(counts / share + 1e-9).astype(np.int64)
     for i, (m, sure, least) in enumerate(tiers):
         top = tiers[i + 1][2] - 1 if i + 1 < len(tiers) else 1 << 40
-        for smaller in (False, True):
-            bands = {0} if not smaller else {0, 1}
-            for step in bands:
-                low = np.maximum(counts, least)
-                band = _band(counts, share) + step
-                inside = (counts > 0) & (low <= np.minimum(largest, top)) if smaller else (counts >= least) & (counts <= top)
-                if smaller:
-                    inside &= (_band(low, share) <= band) & (band <= _band(np.minimum(largest, top), share))
-                need = np.ceil(share * low - 1e-9).astype(np.int64)
-                reach = np.minimum(counts, counts - need + sure)
-                take = inside[row] & (place < reach[row]) & (rare > 0)
-                out[0].append((i * 1000 + band[row[take]]) * SHARDS + shard[take])
-                out[1].append(flat[take])
-                out[2].append(row[take])
-                out[3].append(np.where(smaller, -counts[row[take]], counts[row[take]]))
+        low = np.maximum(counts, least)
+        need = np.ceil(share * low - 1e-9).astype(np.int64)
+        reach = np.minimum(counts, counts - need + sure)
+        own, high = _band(counts, share), np.minimum(largest, top)
+        for step in (0, 1):
+            band = own + step
+            larger = (counts >= least) & (counts <= top) if step == 0 else np.zeros(len(counts), bool)
+            smaller = (counts > 0) & (low <= high) & (_band(low, share) <= band) & (band <= _band(high, share))
+            take = (larger | smaller)[row] & (place < reach[row]) & (rare > 0)
+            out[0].append((i * 1000 + band[row[take]]) * shards + shard[take])
+            out[1].append(flat[take])
+            out[2].append(row[take])
+            out[3].append(np.where(larger, counts, -counts)[row[take]])
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, m: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, asks: np.ndarray, m: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (larger, smaller) of classes with at least m common pivots and sizes within the share."""
     classes, who = np.unique(klass, return_inverse=True)
     big = size > 0
-    n = np.abs(size)
+    n = np.abs(size).astype(np.int64)
     number = np.unique(triple, return_inverse=True)[1].astype(np.int64)
-    index = np.flatnonzero(~big)
+    index = np.arange(len(size))
     key = (number[index] << 32) | n[index]
     order = np.lexsort((who[index], key))
     index, key = index[order], key[order]
@@ -197,7 +211,7 @@ def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, m:
         once = np.ones(len(index), bool)
         once[1:] = (key[1:] != key[:-1]) | (who[index][1:] != who[index][:-1])
         index, key = index[once], key[once]
-    ask = np.flatnonzero(big)
+    ask = np.flatnonzero(big & asks)
     ask = ask[np.lexsort((number[ask], who[ask]))]
     if len(ask):
         once = np.ones(len(ask), bool)
@@ -226,19 +240,22 @@ def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, m:
         at = end
 
 
-def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_words: int = 20, shards: int = SHARDS, common: tuple[int, ...] = COMMON) -> tuple[DataFrame, DataFrame]:
     """(links, members): links of classes (class_a < class_b, common, size_a, size_b), and the class of each id."""
     spark = df.sparkSession
     content = _content(df, key)
     rarity = spark.sparkContext.broadcast(_rarity(content, least_words))
-    tiers = _tiers(share)
+    tiers = _tiers(share, shards, common)
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches):
             flat, counts = triples(texts, least_words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(_class_hashes(flat, counts)), pa.array(counts)], names=["id", "class", "size"])
+            take = counts > 0
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(_parity(flat, counts)[take].ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, t in zip(ids, take) if t], pa.string()), pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch], names=["id", "class", "size", "sketch"])
 
-    members = content.mapInArrow(class_rows, "id string, class long, size long").where("size > 0").groupBy("id").agg(F.min("class").alias("class"))
+    rows = content.mapInArrow(class_rows, "id string, class long, size long, sketch array<long>")
+    members = materialize(rows.groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*"))
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -249,32 +266,45 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
             if len(seen) > 1_000_000:
                 seen.clear()
             keep = np.repeat(fresh, counts)
-            region, triple, row, size = _postings(flat[keep], np.where(fresh, counts, 0), rarity.value, share)
-            for start in range(0, len(region), 200_000):
-                s = slice(start, start + 200_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(region[s].astype(np.int32)), pa.array(triple[s].view(np.int64)), pa.array(klass[row[s]]), pa.array(size[s].astype(np.int32))], names=["region", "triple", "class", "size"]
-                )
-
-    postings = content.mapInArrow(posting_rows, "region int, triple long, class long, size int")
-    loads = postings.groupBy("region").agg(F.count("*").alias("n"))
-    blocks = {r["region"]: int(r["n"] // REGION_POSTINGS) + 1 for r in loads.where(F.col("n") > REGION_POSTINGS).collect()}
-    split = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("region")], F.lit(1)) if blocks else F.lit(1)
-    blocked = postings.withColumn("blocks", split).withColumn(
-        "block", F.explode(F.when(F.col("size") > 0, F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
+            region, triple, row, size = _postings(flat[keep], np.where(fresh, counts, 0), rarity.value, share, shards, tiers)
+            if not len(region):
+                continue
+            order = np.lexsort((row, region))
+            region, triple, row, size = region[order], triple[order], row[order], size[order]
+            begin = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (row[1:] != row[:-1])]))
+            ends = np.concatenate([begin, [len(region)]]).astype(np.int32) * 4
+            values = (triple >> np.uint64(32)).astype("<u4").tobytes()
+            packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([pa.array(region[begin].astype(np.int32)), pa.array(klass[row[begin]]), pa.array(size[begin].astype(np.int32)), packed], names=["region", "class", "size", "triples"])
+
+    postings = content.mapInArrow(posting_rows, "region int, class long, size int, triples binary")
+    band = F.floor(F.log("size") / (-BAND_SHARES * np.log(share)) + 1e-9).cast("int")
+    loads = dict(members.select("class", "size").distinct().groupBy(band.alias("band")).agg(F.sum((1 - share) * F.col("size") + tiers[-1][1]).alias("n")).collect())
+    blocks = {b: int((loads.get(b, 0) + loads.get(b - 1, 0)) / shards // REGION_POSTINGS) + 1 for b in range(max(loads, default=0) + 2)}
+    blocks = {b: n for b, n in blocks.items() if n > 1}
+    split = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.expr(f"(region div {shards}) % 1000").cast("int")], F.lit(1)) if blocks else F.lit(1)
+    turn = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    blocked = postings.withColumn("blocks", split).withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if blocks else F.lit(0))
 
     def join_region(table: pa.Table) -> pa.Table:
         region = table.column("region")[0].as_py()
-        m = tiers[region // SHARDS // 1000][0]
-        columns = [table.column(c).to_numpy() for c in ("triple", "class", "size")]
-        found = list(_pairs_in_region(*columns, m, share))
+        m = tiers[region // shards // 1000][0]
+        parts = table.column("triples").to_pylist()
+        held = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        triple = np.frombuffer(b"".join(parts), np.uint32)
+        asks = table.column("turn").to_numpy() == table.column("block")[0].as_py()
+        columns = [np.repeat(c, held) for c in (table.column("class").to_numpy(), table.column("size").to_numpy(), asks)]
+        found = list(_pairs_in_region(triple, *columns, m, share))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
         return pa.table({"class_a": np.minimum(a, b), "class_b": np.maximum(a, b)})
 
-    found = blocked.groupBy("region", "block").applyInArrow(join_region, "class_a long, class_b long")
-    candidates = materialize(found.distinct())
+    found = blocked.drop("blocks").groupBy("region", "block").applyInArrow(join_region, "class_a long, class_b long")
+    known = members.groupBy("class").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    of = lambda side: known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "size", "sketch")])
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    allowed = F.col("size_a") + F.col("size_b") - 2 * F.ceil(share * F.greatest("size_a", "size_b") - 1e-9)
+    candidates = materialize(found.distinct().join(of("a"), "class_a").join(of("b"), "class_b").where(differ <= allowed).select("class_a", "class_b"))
     sets = _needed_sets(content, candidates, least_words)
     left = sets.select(F.col("class").alias("class_a"), F.col("triples").alias("set_a"))
     right = sets.select(F.col("class").alias("class_b"), F.col("triples").alias("set_b"))
@@ -289,7 +319,7 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
 
     compared = candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", compare("set_a", "set_b").alias("c"))
     close = (F.col("c.common") >= share * F.col("c.size_a") - 1e-9) & (F.col("c.common") >= share * F.col("c.size_b") - 1e-9)
-    return compared.where(close).select("class_a", "class_b", "c.common", "c.size_a", "c.size_b"), members
+    return compared.where(close).select("class_a", "class_b", "c.common", "c.size_a", "c.size_b"), members.select("id", "class")
 
 
 def _needed_sets(content: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:

@@ -81,9 +81,11 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
         units.append((raw, bare, urls, _WORD.findall(bare.lower())))
     plain_words = [w for u in units for w in u[3]]
     count = Counter(plain_words)
-    pair_count = Counter(zip(plain_words, plain_words[1:]))
     total = max(1, len(plain_words))
-    often = {p for p, n in pair_count.items() if n >= 3 and n >= 0.012 * total and not (p[0] in known and p[1] in known)}
+    enough = max(3, 0.012 * total)
+    frequent = {w for w, n in count.items() if n >= enough}
+    pair_count = Counter(p for p in zip(plain_words, plain_words[1:]) if p[0] in frequent and p[1] in frequent)
+    often = {p for p, n in pair_count.items() if n >= enough and not (p[0] in known and p[1] in known)}
     content = Counter({w: n for w, n in count.items() if n > 1 and len(w) > 2 and w not in known})
     stuffed = {w for w, n in content.items() if n >= max(4, 0.04 * total)}
     mass = dict.fromkeys(("link", "product", "tag", "keyword", "sentence", "list", "table", "noise"), 0.0)
@@ -94,7 +96,7 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
         links += max(len(urls), len(captions))
         weight = float(len(words))
         link_weight = sum(min(len(u), 80) / 9 for u in urls)
-        share = sum(w in known for w in words) / len(words) if words else 0.0
+        share = len([w for w in words if w in known]) / len(words) if words else 0.0
         ended = textstats._END.search(bare) is not None
         if urls or captions:
             caption_words = sum(len(_WORD.findall(c)) for c in captions)
