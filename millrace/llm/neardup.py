@@ -45,6 +45,7 @@ EXPAND = 64
 """Classes of up to so many equal texts are listed as all pairs; larger ones as pairs with their first member."""
 TOUCHES = 3_000_000
 ROWS = 400
+BITS = 55
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -77,7 +78,8 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def triples(texts: list[str], least_words: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit triple hashes of each text (flat, and the number of them); none for texts of few words."""
+    """Distinct triple hashes of BITS bits of each text, sorted (flat, and the number of them); none for texts of few
+    words. At most 2 ** (64 - BITS) texts at a time, whose number fills the rest of a sort key."""
     joined = "\n".join(texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -95,11 +97,9 @@ def triples(texts: list[str], least_words: int = 20) -> tuple[np.ndarray, np.nda
     same = (owner[2:] == owner[:-2]) & enough[owner[:-2]]
     found = _mix(hashes[:-2] * np.uint64(3) + _mix(hashes[1:-1] + np.uint64(7)) * np.uint64(5) + _mix(hashes[2:] + np.uint64(11)))[same]
     of = owner[:-2][same]
-    order = np.lexsort((found, of))
-    found, of = found[order], of[order]
-    first = np.ones(len(found), bool)
-    first[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-    return found[first], np.bincount(of[first], minlength=len(texts))
+    keys = np.sort((of.astype(np.uint64) << np.uint64(BITS)) | (found >> np.uint64(64 - BITS)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys & np.uint64((1 << BITS) - 1), np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=len(texts))
 
 
 def _class_hashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def _rarity(content: DataFrame, least_words: int) -> np.ndarray:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for _, texts in _slices(batches):
             flat, _ = triples(texts, least_words)
-            cell, n = np.unique((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+            cell, n = np.unique((flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.int32), return_counts=True)
             cells[cell] += n.astype(np.uint32)
         used = np.flatnonzero(cells)
         for start in range(0, len(used), 500_000):
@@ -171,8 +171,8 @@ def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: f
     In its own band a text is a larger one too and its size is positive; elsewhere it is only the smaller one: -size.
     """
     row = np.repeat(np.arange(len(counts)), counts)
-    rare = rarity[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((flat, rare, row))
+    rare = rarity[(flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.int64)]
+    order = np.argsort((row.astype(np.uint64) << np.uint64(BITS)) | (rare.astype(np.uint64) << np.uint64(BITS - 8)) | (flat >> np.uint64(8)))
     flat, rare, row = flat[order], rare[order], row[order]
     begin = np.cumsum(counts) - counts
     place = np.arange(len(flat)) - begin[row]
@@ -269,11 +269,11 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
             region, triple, row, size = _postings(flat[keep], np.where(fresh, counts, 0), rarity.value, share, shards, tiers)
             if not len(region):
                 continue
-            order = np.lexsort((row, region))
+            order = np.argsort(region * ROWS + row)
             region, triple, row, size = region[order], triple[order], row[order], size[order]
             begin = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (row[1:] != row[:-1])]))
             ends = np.concatenate([begin, [len(region)]]).astype(np.int32) * 4
-            values = (triple >> np.uint64(32)).astype("<u4").tobytes()
+            values = (triple & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
             packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values)])
             yield pa.RecordBatch.from_arrays([pa.array(region[begin].astype(np.int32)), pa.array(klass[row[begin]]), pa.array(size[begin].astype(np.int32)), packed], names=["region", "class", "size", "triples"])
 
