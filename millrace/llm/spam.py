@@ -54,7 +54,9 @@ _ANCHOR = regex.compile(r"(?is)<a\b[^>]*>(.*?)</a>|\[([^\[\]]{1,120})\]\(\s*[^()
 _TAG_MARK = regex.compile(r"(?i)class\s*=\s*[\"'][^\"']*\b(?:tag|label|badge|chip|keyword)s?\b|rel\s*=\s*[\"']tag|(?<!\S)#\w{2,}")
 _PRODUCT = regex.compile(r"(?i)\b(?:sku|ref|cod|cód|ean|mpn)[\-:. ]*[a-z]?\d{3,}|(?:R\$|US\$|\$|€|£)\s?\d[\d.,]*|\d+(?:[.,]\d{2})\s?(?:€|reais|eur|usd)\b|-\d{1,2}\s?%(?=\s|$)")
 _PRICE_SIGNS = ("$", "€", "£", "%", "sku", "reais", "eur", "usd", "ref.", "ref:", "ref ", "ref-", "cod.", "cod:", "cod ", "cod-", "cód.", "cód:", "cód ", "ean", "mpn")
+_CLOSERS, _ENDS = "\"'”’»)] ", frozenset(".!?…")
 _DOTTED = re.compile(r"[A-Za-z0-9]\.[A-Za-z]{2}")
+_MARK = re.compile(r"[.!?…](?:\s|$|[\"'”’»])")
 _UNIT = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”’»)])\s+")
 _WORD = textstats._WORD
 
@@ -74,11 +76,11 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
     tagged = "#" in low or "class" in low or "rel" in low and "tag" in low
     priced = any(k in low for k in _PRICE_SIGNS)
     units = []
-    for raw in _units(text):
+    for raw in _units(low):
         urls = _URL.findall(raw) if linked and ("/" in raw or _DOTTED.search(raw)) else []
         bare = _URL.sub(" ", raw) if urls else raw
         bare = (textstats._TAG.sub(" ", bare) if "<" in bare else bare).strip()
-        units.append((raw, bare, urls, _WORD.findall(bare.lower())))
+        units.append((raw, bare, urls, _WORD.findall(bare)))
     plain_words = [w for u in units for w in u[3]]
     count = Counter(plain_words)
     total = max(1, len(plain_words))
@@ -97,10 +99,10 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
         weight = float(len(words))
         link_weight = sum(min(len(u), 80) / 9 for u in urls)
         share = len([w for w in words if w in known]) / len(words) if words else 0.0
-        ended = textstats._END.search(bare) is not None
+        ended = bare.rstrip(_CLOSERS)[-1:] in _ENDS
         if urls or captions:
             caption_words = sum(len(_WORD.findall(c)) for c in captions)
-            caption_line = bool(urls) and weight <= 12 and share < 0.3 and textstats._END.search(raw) is None
+            caption_line = bool(urls) and weight <= 12 and share < 0.3 and raw.rstrip(_CLOSERS)[-1:] not in _ENDS
             if caption_line or link_weight + caption_words >= 0.5 * (weight + link_weight):
                 mass["link"] += max(weight, 1.0) + link_weight
                 continue
@@ -135,7 +137,7 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
         max(content.values(), default=0) / total,
         sum(pair_count[p] for p in often) / total,
         sum(n for w, n in count.items() if w in known) / total,
-        len(textstats._MARK.findall(text)) / total,
+        len(_MARK.findall(low)) / total,
         prices / total,
         float(np.log1p(total)),
     ]
