@@ -37,13 +37,13 @@ SKETCH_WORDS = 16
 """A class has a parity sketch of so many 64-bit words; it bounds the number of different triples from below."""
 BAND_SHARES = 3
 """A band of sizes spans a factor of 1 / share ** BAND_SHARES."""
-REGION_POSTINGS = 3_000_000
+REGION_POSTINGS = 1_500_000
 """Regions with more postings are split by blocks of the larger texts."""
-NEEDED_CLASSES = 4_000_000
-"""Up to so many compared classes are named to the readers of the texts; beyond, all classes are read and joined."""
+NEEDED_CLASSES = 300_000
+"""Up to so many ids of compared texts are broadcast to the readers (at most some 20 MB); beyond, they are joined."""
 EXPAND = 64
 """Classes of up to so many equal texts are listed as all pairs; larger ones as pairs with their first member."""
-TOUCHES = 3_000_000
+TOUCHES = 2_000_000
 ROWS = 400
 BITS = 55
 
@@ -130,24 +130,31 @@ def _content(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), joined.alias("content"))
 
 
-def _rarity(content: DataFrame, least_words: int) -> np.ndarray:
-    """Counts of triples by sketch cell, on a logarithmic scale in one byte; 0 for cells used at most once."""
+def _add_cells(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Used cells and their counts from packed (cell, count) pairs."""
+    cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for part in parts:
+        pairs = np.frombuffer(part, np.uint32).reshape(2, -1)
+        cells[pairs[0]] += pairs[1]
+    used = np.flatnonzero(cells).astype(np.uint32)
+    return used, cells[used]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for _, texts in _slices(batches):
-            flat, _ = triples(texts, least_words)
-            cell, n = np.unique((flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.int32), return_counts=True)
-            cells[cell] += n.astype(np.uint32)
-        used = np.flatnonzero(cells)
-        for start in range(0, len(used), 500_000):
-            part = used[start : start + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part].astype(np.int64))], names=["cell", "n"])
 
-    counted = content.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counted.select("cell", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("q")).toPandas()
+def _rarity(cells: DataFrame) -> np.ndarray:
+    """Counts of triples by sketch cell, on a logarithmic scale in one byte; 0 for cells used at most once.
+
+    cells has one packed row a task; they are added in groups of 32 until few are left, whatever the number of tasks.
+    """
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cells": [np.concatenate(_add_cells(group["cells"].tolist())).tobytes()]})
+
+    rows = cells
+    while (n := rows.count()) > 32:
+        rows = materialize(rows.groupBy(F.pmod(F.xxhash64("cells"), F.lit(-(-n // 32)))).applyInPandas(add, "cells binary"))
+    used, counts = _add_cells([bytes(r["cells"]) for r in rows.collect()])
     rarity = np.zeros(1 << SKETCH_BITS, np.uint8)
-    rarity[rows["cell"].to_numpy()] = rows["q"].to_numpy()
+    rarity[used] = np.where(counts > 1, np.minimum(255, np.floor(np.log2(np.maximum(counts, 1)) * 8)), 0).astype(np.uint8)
     return rarity
 
 
@@ -244,18 +251,27 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
     """(links, members): links of classes (class_a < class_b, common, size_a, size_b), and the class of each id."""
     spark = df.sparkSession
     content = _content(df, key)
-    rarity = spark.sparkContext.broadcast(_rarity(content, least_words))
     tiers = _tiers(share, shards, common)
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, none = ["id", "class", "size", "sketch", "cells"], pa.array([None], pa.list_(pa.int64()))
+        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for ids, texts in _slices(batches):
             flat, counts = triples(texts, least_words)
+            cell, n = np.unique((flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            cells[cell] += n.astype(np.uint32)
             take = counts > 0
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(_parity(flat, counts)[take].ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, t in zip(ids, take) if t], pa.string()), pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch], names=["id", "class", "size", "sketch"])
+            kept = pa.array([i for i, t in zip(ids, take) if t], pa.string())
+            yield pa.RecordBatch.from_arrays([kept, pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch, pa.nulls(len(kept), pa.binary())], names=names)
+        used = np.flatnonzero(cells).astype(np.uint32)
+        if len(used):
+            packed = pa.array([np.concatenate([used, cells[used]]).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), none, packed], names=names)
 
-    rows = content.mapInArrow(class_rows, "id string, class long, size long, sketch array<long>")
-    members = materialize(rows.groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*"))
+    read = materialize(content.mapInArrow(class_rows, "id string, class long, size long, sketch array<long>, cells binary"))
+    rarity = spark.sparkContext.broadcast(_rarity(read.where("cells is not null").select("cells")))
+    members = read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*")
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -305,7 +321,7 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     allowed = F.col("size_a") + F.col("size_b") - 2 * F.ceil(share * F.greatest("size_a", "size_b") - 1e-9)
     candidates = materialize(found.distinct().join(of("a"), "class_a").join(of("b"), "class_b").where(differ <= allowed).select("class_a", "class_b"))
-    sets = _needed_sets(content, candidates, least_words)
+    sets = _needed_sets(content, members, candidates, least_words)
     left = sets.select(F.col("class").alias("class_a"), F.col("triples").alias("set_a"))
     right = sets.select(F.col("class").alias("class_b"), F.col("triples").alias("set_b"))
 
@@ -322,28 +338,25 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
     return compared.where(close).select("class_a", "class_b", "c.common", "c.size_a", "c.size_b"), members.select("id", "class")
 
 
-def _needed_sets(content: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
-    """class and sorted triples (binary) of the classes in candidates; once each."""
+def _needed_sets(content: DataFrame, members: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
+    """class and sorted triples (binary) of the classes in candidates; once each, from its first member's text."""
     needed = candidates.select(F.col("class_a").alias("class")).union(candidates.select("class_b")).distinct()
-    known = needed.limit(NEEDED_CLASSES + 1).toPandas()["class"].to_numpy()
-    wanted = content.sparkSession.sparkContext.broadcast(np.sort(known) if len(known) <= NEEDED_CLASSES else None)
+    first = members.join(needed, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id")
+    few = first.limit(NEEDED_CLASSES + 1).count() <= NEEDED_CLASSES
+    content = content.join(F.broadcast(first) if few else first, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, texts in _slices(batches):
             flat, counts = triples(texts, least_words)
             klass, ends = _class_hashes(flat, counts), np.cumsum(counts)
-            take = counts > 0
-            if wanted.value is not None:
-                spot = np.minimum(np.searchsorted(wanted.value, klass), max(0, len(wanted.value) - 1))
-                take &= (wanted.value[spot] == klass) if len(wanted.value) else False
-            rows = [i for i in np.flatnonzero(take) if klass[i] not in seen and not seen.add(klass[i])]
+            rows = [i for i in np.flatnonzero(counts > 0) if klass[i] not in seen and not seen.add(klass[i])]
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(klass[rows]), pa.array([flat[ends[i] - counts[i] : ends[i]].tobytes() for i in rows], pa.binary())], names=["class", "triples"])
 
     sets = content.mapInArrow(run, "class long, triples binary")
-    return sets.join(needed, "class", "left_semi").groupBy("class").agg(F.first("triples").alias("triples"))
+    return sets.groupBy("class").agg(F.first("triples").alias("triples"))
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
