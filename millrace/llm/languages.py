@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textstats
+from millrace.llm.samples import bounded_sample
 
 BUCKETS, DIM = 1 << 15, 16
 TRAIN_DOCUMENTS = 1500
@@ -214,7 +215,8 @@ def training_sentences(df: DataFrame, words: DataFrame, text: str = "text", labe
     """Sentences of a bounded sample of documents for which label and common words agree (without label: by common words alone)."""
     common = textstats.common_words(words)
     stated = F.col(label) if label else F.lit("")
-    sample = df.where(stated.isNotNull() & (F.length(text) > 150)).select(text, stated).orderBy(F.xxhash64(text)).limit(documents).collect()
+    labelled = df.where(stated.isNotNull() & (F.length(text) > 150)).select(F.col(text).alias("content"), stated.alias("stated"))
+    sample = bounded_sample(labelled, F.col("content"), documents).select("content", "stated").collect()
     examples = []
     for content, stated in sample:
         code = language_code(stated) if label else textstats.measure(content, common)[1]

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.samples import bounded_sample
+
 TRAIN_SPANS = 20_000
 WIDTH = 1 << 12
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -311,7 +313,7 @@ def fit(spans: DataFrame) -> np.ndarray:
     ranked = spans.select(F.explode("spans").alias("s"), F.xxhash64(*[c for c in spans.columns if c != "spans"]).alias("h")).select("s.pii_type", "s.votes", "s.features", F.xxhash64("h", "s.start", "s.pii_type").alias("r"))
     rows = []
     for kind in TYPES:
-        rows += ranked.where(F.col("pii_type") == kind).orderBy("r", "votes").limit(TRAIN_SPANS).select("pii_type", "votes", "features").collect()
+        rows += bounded_sample(ranked.where(F.col("pii_type") == kind), F.col("r"), TRAIN_SPANS, sum(n for k, _, n in counts if k == kind)).select("pii_type", "votes", "features").collect()
     return fit_span_classifier([r["features"] for r in rows], np.array([belief[(r["pii_type"], r["votes"])] for r in rows]))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textstats
+from millrace.llm.samples import bounded_sample
 
 FEATURES = (
     "link_share",
@@ -221,7 +222,7 @@ def features(df: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(measured: DataFrame, key: str = "doc_id") -> Forest | None:
-    rows = measured.where("x is not null").select("x", F.xxhash64(key).alias("r")).orderBy("r").limit(TRAIN_PAGES).collect()
+    rows = bounded_sample(measured.where("x is not null").select(key, "x"), F.col(key), TRAIN_PAGES).collect()
     if not rows:
         return None
     x = np.array([r["x"] for r in rows])
