@@ -38,9 +38,41 @@ def split_by_hash(df: DataFrame, key: str, train: float = 0.9, validation: float
     return df.withColumn("split", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 
-def round_robin(df: DataFrame, source: str, order: str) -> DataFrame:
-    """df plus `turn`: the position of a row in its source; reading by (turn, source) interleaves the sources."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+def round_robin(df: DataFrame, source: str, order: str, parts: int = 256) -> DataFrame:
+    """df plus `turn`, the position of a row in its source; reading by (turn, source) interleaves the sources.
+
+    `order` is a number, unique within a source. Positions are counted in ranges of it, so that a source of any size is
+    spread over `parts` groups; only the ranges' counts are summed up by source.
+    """
+    edges = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, hi = (edges["lo"] or 0), (edges["hi"] or 0)
+    ranged = df.withColumn("__range", F.floor((F.col(order) - lo) / max(1, (hi - lo) // parts + 1)))
+    counts = ranged.groupBy(source, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(source).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(counts.select(source, "__range", before.alias("__before")), [source, "__range"])
+    inside = F.row_number().over(Window.partitionBy(source, "__range").orderBy(order))
+    return placed.withColumn("turn", F.col("__before") + inside).drop("__range", "__before")
+
+
+def first_per_group(df: DataFrame, by: str, order: list, most: int, salts: int = 64) -> DataFrame:
+    """The first `most` rows of each group; large groups are cut in salted parts before they meet."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    part = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order))
+    few = salted.withColumn("__rn", part).where(F.col("__rn") <= most)
+    return few.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__rn") <= most).drop("__rn", "__salt")
+
+
+def interleave(first: DataFrame, second: DataFrame, order: str, probability: float, seed: int = 0) -> DataFrame:
+    """Rows of two streams with their output slot: each slot takes the next row of the first stream with the given
+    probability, else of the second, until the chosen stream has ended. `order` is a number, unique in each stream."""
+    spark = first.sparkSession
+    sizes = [df.count() for df in (first, second)]
+    slots = spark.range(0, sum(sizes)).select(F.col("id").alias("slot"), (hash_unit(F.col("id"), seed) < probability).cast("long").alias("__a"))
+    counted = running_offsets(slots, "slot", "__a").withColumn("__i", F.when(F.col("__a") == 1, F.col("offset")).otherwise(F.col("slot") - F.col("offset")))
+    ended = counted.where(((F.col("__a") == 1) & (F.col("__i") >= sizes[0])) | ((F.col("__a") == 0) & (F.col("__i") >= sizes[1]))).agg(F.min("slot").alias("end")).first()["end"]
+    kept = counted if ended is None else counted.where(F.col("slot") < ended)
+    tagged = [running_offsets(df.withColumn("__one", F.lit(1)), order, "__one").withColumnRenamed("offset", "__i").withColumn("__a", F.lit(a).cast("long")).drop("__one") for df, a in ((first, 1), (second, 0))]
+    return tagged[0].unionByName(tagged[1]).join(kept.select("slot", "__a", "__i"), ["__a", "__i"]).drop("__a", "__i")
 
 
 def weighted_choice(draws: DataFrame, sources: DataFrame, u: str = "u") -> DataFrame:

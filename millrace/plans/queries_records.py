@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -361,8 +361,9 @@ def o03_last_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
 def o04_limit_per_source(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").where("source is not null").select("doc_id", "source").withColumn("rn", F.row_number().over(w)).where("rn <= 20").drop("rn")
+    from millrace.operators import sampling
+
+    return sampling.first_per_group(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", ["doc_id"], 20)
 
 
 @query("SELECT user_id, max_by(event_id, ts) AS latest, min_by(event_id, {'v': value, 'e': event_id}) AS best, max(ts) AS latest_ts FROM events GROUP BY user_id")
@@ -402,3 +403,40 @@ def t06_durations(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, to_json({'id': id, 'source': source, 'title': title})::VARCHAR AS json FROM dataset_entries")
 def t18_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dataset_entries").select("id", F.to_json(F.struct("id", "source", "title"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang ILIKE 'en%'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang ILIKE 'p%'),
+s AS (SELECT slot, (('0x' || substr(md5('0|' || slot), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < 0.3 AS f FROM range((SELECT count(*) FROM a) + (SELECT count(*) FROM b)) t(slot)),
+c AS (SELECT slot, f, CASE WHEN f THEN sum(f::INT) OVER w - 1 ELSE slot - sum(f::INT) OVER w END AS i FROM s WINDOW w AS (ORDER BY slot)),
+e AS (SELECT coalesce(min(slot), 1000000000) AS e FROM c WHERE (f AND i >= (SELECT count(*) FROM a)) OR (NOT f AND i >= (SELECT count(*) FROM b)))
+SELECT slot, doc_id FROM c JOIN a ON c.f AND c.i = a.i WHERE slot < (SELECT e FROM e) UNION ALL SELECT slot, doc_id FROM c JOIN b ON NOT c.f AND c.i = b.i WHERE slot < (SELECT e FROM e)"""
+)
+def m02_interleave(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.operators import sampling
+
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    english, portuguese = docs.where(F.col("lang").ilike("en%")).select("doc_id"), docs.where(F.col("lang").ilike("p%")).select("doc_id")
+    return sampling.interleave(english, portuguese, "doc_id", 0.3).select("slot", "doc_id")
+
+
+@query("SELECT DISTINCT c.path FROM source_configs c WHERE NOT EXISTS (SELECT 1 FROM shard_records r WHERE lower(regexp_replace(r.source, '[ _-]', '', 'g')) = lower(regexp_replace(c.name, '[ _-]', '', 'g')))")
+def m15_missing_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    bare = lambda c: F.lower(F.regexp_replace(c, "[ _-]", ""))
+    have = table(spark, d, "shard_records").select(bare(F.col("source")).alias("k")).distinct()
+    return table(spark, d, "source_configs").select("path", bare(F.col("name")).alias("k")).join(have, "k", "left_anti").select("path").distinct()
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events")
+def t02_iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.functions import dates
+
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "events").select("event_id", iso.alias("iso"), F.date_format(dates.parse_date(iso), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("SELECT row_id, len(list_filter(coalesce(meta.entities, []), lambda e: length(e) > 5)) AS long_entities, list_contains(coalesce(meta.topics, []), 'tech') AS has_tech, array_to_string(list_transform(coalesce(meta.topics, []), lambda t: upper(t)), ',') AS shouted FROM instruction_rows")
+def t11_arrays(spark: SparkSession, d: str) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    names, tags = F.coalesce("meta.entities", empty), F.coalesce("meta.topics", empty)
+    return table(spark, d, "instruction_rows").select("row_id", F.size(F.filter(names, lambda e: F.length(e) > 5)).cast("long").alias("long_entities"), F.array_contains(tags, "tech").alias("has_tech"), F.array_join(F.transform(tags, lambda t: F.upper(t)), ",").alias("shouted"))
