@@ -37,7 +37,7 @@ SKETCH_WORDS = 16
 """A class has a parity sketch of so many 64-bit words; it bounds the number of different triples from below."""
 BAND_SHARES = 3
 """A band of sizes spans a factor of 1 / share ** BAND_SHARES."""
-REGION_POSTINGS = 1_500_000
+REGION_POSTINGS = 3_000_000
 """Regions with more postings are split by blocks of the larger texts."""
 NEEDED_CLASSES = 300_000
 """Up to so many ids of compared texts are broadcast to the readers (at most some 20 MB); beyond, they are joined."""
@@ -229,21 +229,26 @@ def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, as
     touched = high - low
     total = np.cumsum(touched)
     at = 0
-    partner_of = who[index].astype(np.int64)
+    width = max(1, int(len(classes) - 1).bit_length())
+    partner_of, asker = who[index].astype(np.uint32), who[ask]
     while at < len(ask):
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + TOUCHES, side="right"))
         end = max(end, at + 1)
-        while end < len(ask) and who[ask[end]] == who[ask[end - 1]]:
-            end += 1
+        end = int(np.searchsorted(asker, asker[end - 1], side="right"))
         count = touched[at:end]
-        flat = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at:end], count)
-        a, b = np.repeat(who[ask[at:end]].astype(np.int64), count), partner_of[flat]
-        both = np.sort(((a << 32) | b)[a != b])
+        mine, local = np.unique(asker[at:end], return_inverse=True)
+        narrow = np.uint32 if width + int(len(mine) - 1).bit_length() <= 32 else np.uint64
+        flat = np.arange(int(count.sum()))
+        flat += np.repeat(low[at:end] - (np.cumsum(count) - count), count)
+        both = np.repeat(local.astype(narrow) << narrow(width), count)
+        both |= partner_of[flat]
+        both.sort()
         if m > 1:
             both = both[m - 1 :][both[m - 1 :] == both[: len(both) - m + 1]] if len(both) >= m else both[:0]
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        if len(both):
-            yield classes[both >> 32], classes[both & 0xFFFFFFFF]
+        a, b = mine[both >> narrow(width)], both & narrow((1 << width) - 1)
+        if (a != b).any():
+            yield classes[a[a != b]], classes[b[a != b]]
         at = end
 
 
@@ -271,7 +276,7 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
 
     read = materialize(content.mapInArrow(class_rows, "id string, class long, size long, sketch array<long>, cells binary"))
     rarity = spark.sparkContext.broadcast(_rarity(read.where("cells is not null").select("cells")))
-    members = read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*")
+    members = materialize(read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*"))
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
