@@ -15,6 +15,7 @@ no usable training sentence nothing is labelled.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -43,7 +44,7 @@ LANGUAGE_NAMES = {
 }
 UNKNOWN_NAMES = frozenset("unknown und unk undefined undetermined none null nan n/a na n.a. nd n/d - -- ? ?? xx zxx mul mis other outro auto desconhecido desconhecida desconocido inconnu".split())
 _NAMES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()}
-_SENTENCE = regex.compile(r"(?<=[.!?…][\"'”’»)]{0,2})\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'”’»)])\s+|\n+")
 _WORD = textstats._WORD
 _ADDRESS = regex.compile(r"\S*(?:@|://)\S*")
 
@@ -102,8 +103,6 @@ class LanguageModel:
     def _code(self, word: str) -> int:
         code = self._codes.get(word)
         if code is None:
-            if len(self._codes) > 300_000:
-                self._codes.clear()
             code = self._codes[word] = len(self._codes)
             if code >= len(self._count):
                 self._table, self._count = np.vstack([self._table, np.zeros_like(self._table)]), np.concatenate([self._count, np.zeros_like(self._count)])
@@ -112,7 +111,13 @@ class LanguageModel:
         return code
 
     def log_probabilities(self, parts: list[list[str]]) -> np.ndarray:
-        codes = np.fromiter((self._code(w) for p in parts for w in p), np.int64)
+        words = [w for p in parts for w in p]
+        found = list(map(self._codes.get, words))
+        if None in found:
+            if len(self._codes) > 300_000:
+                self._codes.clear()
+            found = list(map(self._code, words))
+        codes = np.array(found, np.int64)
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
         raw = np.add.reduceat(self._table[codes], starts, axis=0) / np.add.reduceat(self._count[codes], starts)[:, None]
         z = (raw + self.bias) / self.temperature
