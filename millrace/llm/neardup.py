@@ -143,15 +143,16 @@ def _add_cells(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _rarity(cells: DataFrame) -> np.ndarray:
     """Counts of triples by sketch cell, on a logarithmic scale in one byte; 0 for cells used at most once.
 
-    cells has one packed row a task; they are added in groups of 32 until few are left, whatever the number of tasks.
+    cells has one packed row a task; they are added in groups of about 8 until one is left (at most 32 MB), whatever the
+    number of tasks.
     """
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cells": [np.concatenate(_add_cells(group["cells"].tolist())).tobytes()]})
 
     rows = cells
-    while (n := rows.count()) > 32:
-        rows = materialize(rows.groupBy(F.pmod(F.xxhash64("cells"), F.lit(-(-n // 32)))).applyInPandas(add, "cells binary"))
+    while (n := rows.count()) > 1:
+        rows = materialize(rows.groupBy(F.pmod(F.xxhash64("cells"), F.lit(-(-n // 8)))).applyInPandas(add, "cells binary"))
     used, counts = _add_cells([bytes(r["cells"]) for r in rows.collect()])
     rarity = np.zeros(1 << SKETCH_BITS, np.uint8)
     rarity[used] = np.where(counts > 1, np.minimum(255, np.floor(np.log2(np.maximum(counts, 1)) * 8)), 0).astype(np.uint8)
