@@ -348,7 +348,7 @@ def _needed_sets(content: DataFrame, members: DataFrame, candidates: DataFrame,
     """class and sorted triples (binary) of the classes in candidates; once each, from its first member's text."""
     needed = candidates.select(F.col("class_a").alias("class")).union(candidates.select("class_b")).distinct()
     first = members.join(needed, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id")
-    few = first.limit(NEEDED_CLASSES + 1).count() <= NEEDED_CLASSES
+    few = 2 * candidates.count() <= NEEDED_CLASSES
     content = content.join(F.broadcast(first) if few else first, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
