@@ -76,10 +76,11 @@ def full_clean(text: Column) -> Column:
     return F.regexp_replace(cleaned, r"^\s+|\s+$", "")
 
 
-def mask_matches(text: str, patterns: dict[str, str], mode: str = "safe") -> str:
-    """Matches replaced by [TYPE]. "safe": leftmost, longest, no overlap; "reference": by falling start on the changing
-    text with the first text's offsets, so that overlapping matches spoil it, as the old masker does."""
-    found = [(m.start(), m.end(), k.upper()) for k, p in patterns.items() for m in re.finditer(p, text)]
+def mask_matches(text: str, patterns: dict[str, str | tuple[str, ...]], mode: str = "safe", labels: dict[str, str] | None = None) -> str:
+    """Matches replaced by [TYPE], or [label] for types in labels. "safe": the leftmost, longest match is replaced
+    together with the rest of matches that overlap it; "reference": by falling start on the changing text with the first
+    text's offsets, so that overlapping matches spoil it, as the old masker does."""
+    found = [(m.start(), m.end(), (labels or {}).get(k, k.upper())) for k, ps in patterns.items() for p in ([ps] if isinstance(ps, str) else ps) for m in re.finditer(p, text)]
     if mode == "reference":
         for start, end, kind in sorted(found, key=lambda f: -f[0]):
             text = text[:start] + f"[{kind}]" + text[end:]
@@ -88,12 +89,12 @@ def mask_matches(text: str, patterns: dict[str, str], mode: str = "safe") -> str
     for start, end, kind in sorted(found, key=lambda f: (f[0], -f[1])):
         if start >= last:
             parts += [text[last:start], f"[{kind}]"]
-            last = end
+        last = max(last, end)
     return "".join([*parts, text[last:]])
 
 
-def mask_pii(text: Column, patterns: dict[str, str], mode: str = "safe") -> Column:
-    return _each(lambda t: mask_matches(t, patterns, mode))(text)
+def mask_pii(text: Column, patterns: dict[str, str | tuple[str, ...]], mode: str = "safe", labels: dict[str, str] | None = None) -> Column:
+    return _each(lambda t: mask_matches(t, patterns, mode, labels))(text)
 
 
 def sentence_chunks(text: str, size: int, overlap: int) -> list[str]:

@@ -69,6 +69,13 @@ PII_PATTERNS = {
     "credit_card": r"\b(?:\d{4}[-.\s]?){3}\d{4}\b",
     "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
+ADDRESS_PATTERNS = (r"(?i)\b(rua|av\.|avenida|travessa|alameda)\s+[\w\s]+,?\s*\d+", r"(?i)\bcep\s*:?\s*\d{5}[-.\s]?\d{3}\b")
+NAME_PATTERN = (
+    r"\b(Maria|José|João|Ana|Paulo|Pedro|Carlos|Lucas|Marcos|Luis|Gabriel|Rafael|Daniel|Fernanda|Juliana|Camila|Larissa|Beatriz|Amanda)\s+"
+    r"(?:da\s+|de\s+|dos\s+|das\s+)?[A-Z][a-zà-ú]+(?:\s+[A-Z][a-zà-ú]+)?"
+)
+PII_LABELS = {"phone": "TELEFONE", "credit_card": "CARTAO", "address": "ENDERECO", "name": "NOME"}
+"""What a mask says where that isn't the type itself."""
 LANGUAGE_MARKERS = {
     "pt": ["que", "não", "para", "com", "uma", "são", "está", "isso"],
     "en": ["the", "and", "that", "for", "are", "with", "this", "from"],
@@ -114,6 +121,18 @@ def pii_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).cast("long") for k, p in PII_PATTERNS.items()}
 
 
+def pii_patterns(names: bool = False) -> dict[str, tuple[str, ...]]:
+    """All types of personal data with their patterns: PII_PATTERNS, addresses and, if wanted, names."""
+    every = {k: (p,) for k, p in PII_PATTERNS.items()} | {"address": ADDRESS_PATTERNS}
+    return every | {"name": (NAME_PATTERN,)} if names else every
+
+
+def all_pii_counts(text: Column, names: bool = False) -> dict[str, Column]:
+    """pii_counts with addresses and, if wanted, names; words and spaces of these are those of Unicode, as in Python."""
+    rest = {k: sum((F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?U)" + p)).cast("long") for p in ps), F.lit(0)) for k, ps in pii_patterns(names).items() if k not in PII_PATTERNS}
+    return pii_counts(text) | rest
+
+
 def language_scores(text: Column) -> dict[str, Column]:
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
     counts = {k: sum((F.contains(padded, F.lit(f" {w} ")).cast("int") for w in ws), F.lit(0)) for k, ws in LANGUAGE_MARKERS.items()}

@@ -78,7 +78,7 @@ def f19_sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g04_mask_pii(spark: SparkSession, d: str) -> DataFrame:
-    masked = udfs.mask_pii(F.col("text"), {k: guardrails.PII_PATTERNS[k] for k in ("cpf", "cnpj", "email", "cep")})
+    masked = udfs.mask_pii(F.col("text"), guardrails.pii_patterns(), labels=guardrails.PII_LABELS)
     return table(spark, d, "dataset_entries").select("id", masked.alias("out"))
 
 

@@ -2,6 +2,8 @@
 
 import unicodedata
 
+from millrace.functions import udfs
+from millrace.operators import guardrails
 from millrace.plans.queries import QUERIES
 
 
@@ -14,3 +16,26 @@ def test_nfkc_of_all_documents(spark, tmp_path):
     texts = ["plain", "S\u00e3o Paulo", "Sa\u0303o Paulo", "\ufb01m \u2460", "\uff21\uff22\uff11", "a\u00a0b", "", None]
     got = run(spark, tmp_path, "f02_nfkc_documents", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.out for r in got} == {i: unicodedata.normalize("NFKC", t) if t else t for i, t in enumerate(texts)}
+
+
+def test_all_personal_data(spark, tmp_path):
+    rows = [
+        ("a", "Ligue (11) 98765-4321 ou escreva a ana@x.com.br."),
+        ("b", "RG 12.345.678-9, IP 192.168.10.1, cartão 1234-5678-9012-3456."),
+        ("c", "Mora na Rua São João, 120, perto da praça."),
+        ("d", "Rua das Flores cep 01310-100, CPF 123.456.789-00."),
+        ("e", None),
+        ("f", "Nada aqui."),
+    ]
+    schema = "id string, text string"
+    got = {r.id: r.out for r in run(spark, tmp_path, "g04_mask_pii", "dataset_entries", rows, schema)}
+    assert got["a"] == "Ligue ([TELEFONE] ou escreva a [EMAIL]."
+    assert got["b"] == "RG [RG], IP [IP], cartão [CARTAO]."
+    assert got["c"] == "Mora na [ENDERECO], perto da praça."
+    assert got["d"] == "[ENDERECO], CPF [CPF]."
+    assert got["e"] is None and got["f"] == "Nada aqui."
+    counts = {r.id: r for r in run(spark, tmp_path, "g03_pii_counts_all", "dataset_entries", rows, schema)}
+    assert [counts[i].address for i in "abcdef"] == [0, 0, 1, 2, 0, 0] and counts["b"].credit_card == counts["b"].ip == 1
+    total = run(spark, tmp_path, "a08_pii_documents_all", "dataset_entries", rows, schema)[0]
+    assert (total.address, total.cpf, total.total) == (2, 1, 6)
+    assert udfs.mask_matches("Sou Maria da Silva.", guardrails.pii_patterns(names=True), labels=guardrails.PII_LABELS) == "Sou [NOME]."
