@@ -157,7 +157,12 @@ def d04_shingles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d05_j04_similar(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.similar_texts(table(spark, d, "shard_records").where("text is not null").groupBy("record_id").agg(F.first("text").alias("text")), "record_id", "text").select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    return dedup.similar_texts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def d05_marks(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.mark_similar(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query(

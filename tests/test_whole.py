@@ -1,9 +1,11 @@
 """Queries over small tables of their own, on rows that a shortened form of the query would leave out or leave as they are."""
 
+import random
+import re
 import unicodedata
 
 from millrace.functions import udfs
-from millrace.operators import guardrails
+from millrace.operators import dedup, guardrails
 from millrace.plans.queries import QUERIES
 
 
@@ -39,3 +41,53 @@ def test_all_personal_data(spark, tmp_path):
     total = run(spark, tmp_path, "a08_pii_documents_all", "dataset_entries", rows, schema)[0]
     assert (total.address, total.cpf, total.total) == (2, 1, 6)
     assert udfs.mask_matches("Sou Maria da Silva.", guardrails.pii_patterns(names=True), labels=guardrails.PII_LABELS) == "Sou [NOME]."
+
+
+def _shingles(text):
+    text = re.sub(r"[ \t\r\n\f\x0b]+", " ", text.lower())
+    return {text[i : i + 5] for i in range(len(text) - 4)}
+
+
+def _edited(seed=5):
+    """Texts of 60 to 2000 characters, each with copies that differ by ever more words, equal copies and short texts."""
+    pick, rows = random.Random(seed), []
+    words = ["".join(pick.choices("abcdefghijlmnoprstuvã", k=pick.randint(2, 9))) for _ in range(400)]
+    for n in (12, 20, 35, 60, 110, 200, 300):
+        for _ in range(4):
+            base = pick.choices(words, k=n)
+            for changes in (0, 0, 1, 2, 3, n // 20, n // 12, n // 9):
+                copy = list(base)
+                for at in pick.sample(range(n), min(changes, n)):
+                    copy[at] = pick.choice(words)
+                rows.append(" ".join(copy))
+    rows += ["short", "short", None, rows[0].upper() + "  ", "aaaa " * 20]
+    pick.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_similar_texts_are_all_found(spark, tmp_path):
+    rows = _edited()
+    sets = {i: _shingles(t) for i, t in rows if t and len(t) >= 50}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    normal = {i: re.sub(r"\s+", " ", t.lower()) for i, t in rows if i in sets}
+    first = {i: min(j for j in normal if normal[j] == normal[i]) for i in normal}
+    want = {p: s for p, s in share.items() if s >= 0.85 and first[p[0]] == p[0] and (first[p[1]] == p[1] or first[p[1]] == p[0])}
+    got = {(r.id_a, r.id_b): r.similarity for r in run(spark, tmp_path, "d05_j04_similar", "documents", rows, "doc_id long, text string")}
+    assert len(want) > 60 and got == {p: round(s, 6) for p, s in want.items()}
+
+    kept, dropped = [], set()
+    for i in sorted(sets):
+        if any(share[k, i] >= 0.85 or normal[k].strip() == normal[i].strip() for k in kept):
+            dropped.add(i)
+        else:
+            kept.append(i)
+    marks = {r.id: r for r in run(spark, tmp_path, "d05_marks", "documents", rows, "doc_id long, text string")}
+    assert set(marks) == set(sets) and {i for i, r in marks.items() if r.is_duplicate} == dropped
+    assert all(r.class_id == first[i] and (not r.is_duplicate or r.similar_to in kept) for i, r in marks.items())
+
+
+def test_blocks_of_similar_texts(spark):
+    df = spark.createDataFrame(_edited(7), "id long, text string")
+    classes = dedup.text_classes(df, "id", "text")
+    few, one = ({tuple(r) for r in dedup.similar_classes(classes, chunk=n).collect()} for n in (7, 3000))
+    assert few == one and few
