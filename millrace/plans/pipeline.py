@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.functions import udfs
 from millrace.operators import dedup, guardrails, quality
+from millrace.session import materialize
 
 
 def process(documents: DataFrame, key: str = "doc_id", text: str = "text", targets: tuple[str, ...] = ("pt", "en", "es"), least_confidence: float = 0.2, min_score: float = 0.6) -> DataFrame:
-    """documents plus cleaned text, scores and drop_reason (null: kept).
+    """documents plus cleaned text, scores, drop_reason (null: kept) and pii_removed.
 
-    The order of the checks is language, quality, duplicate, content; a document has one reason, the first. Duplicates
-    are counted among documents that passed language and quality only, and one that content rejects still makes later
-    copies duplicates. One shuffle: the first key of each text.
+    The order of the steps is clean, language, quality, duplicate, content, personal data; a document has one reason, the
+    first. Duplicates, equal or similar texts, are looked for among documents that passed language and quality only, and
+    one that content rejects still makes later copies duplicates. In the clean_text of kept documents personal data is
+    masked; pii_removed says where there was any. Of the other documents clean_text stays as it was judged.
     """
     cleaned = documents.withColumn("clean_text", tx.clean(F.col(text)))
     judged = guardrails.detect_language(cleaned, "clean_text", targets, least_confidence)
     scored = quality.with_quality(judged, "clean_text", min_score=min_score)
     early = F.when(~F.col("is_target"), "language").when(~F.col("passed"), "quality")
-    staged = scored.withColumn("__early", early).withColumn("__key", dedup.exact_key(F.col("clean_text")))
-    first = staged.groupBy("__key").agg(F.min(F.when(F.col("__early").isNull(), F.col(key))).alias("__first"))
-    marked = staged.join(first, "__key", "left")
-    repeated = F.col("__early").isNull() & (F.length("clean_text") >= dedup.MIN_CHARS) & (F.col(key) > F.col("__first"))
+    staged = scored.withColumn("__early", early)
+    marks = dedup.mark_similar(staged.where("__early is null"), key, "clean_text")
+    repeated = marks.where("is_duplicate").select(F.col("id").alias(key), F.lit(True).alias("__repeated")).distinct()
     content = F.size(guardrails.content_reasons(F.col("clean_text"))) > 0
-    reason = F.coalesce(F.col("__early"), F.when(repeated, "duplicate"), F.when(content, "content"))
-    return marked.withColumn("drop_reason", reason).drop("__early", "__key", "__first")
+    reason = F.coalesce(F.col("__early"), F.when(F.col("__repeated"), "duplicate"), F.when(content, "content"))
+    reasoned = staged.join(repeated, key, "left").withColumn("drop_reason", reason).drop("__early", "__repeated")
+    kept = F.col("drop_reason").isNull()
+    masked = udfs.mask_pii(F.when(kept, F.col("clean_text")), guardrails.pii_patterns(), labels=guardrails.PII_LABELS)
+    removed = F.coalesce(F.col("__masked") != F.col("clean_text"), F.lit(False))
+    return reasoned.withColumn("__masked", masked).withColumn("pii_removed", removed).withColumn("clean_text", F.coalesce("__masked", "clean_text")).drop("__masked")
 
 
 def counters(processed: DataFrame) -> DataFrame:
-    """reason (kept for none), documents and share of all."""
-    total = processed.agg(F.count("*").alias("total"))
-    each = processed.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("documents"))
-    return each.crossJoin(F.broadcast(total)).select("reason", "documents", F.round(F.col("documents") / F.greatest(F.lit(1), F.col("total")), 6).alias("share"))
+    """reason (kept for none), documents, share of all and documents with personal data removed."""
+    each = processed.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("documents"), F.count_if("pii_removed").alias("pii_removed"))
+    each = materialize(each)
+    total = each.agg(F.sum("documents").alias("total"))
+    return each.crossJoin(F.broadcast(total)).select("reason", "documents", F.round(F.col("documents") / F.greatest(F.lit(1), F.col("total")), 6).alias("share"), "pii_removed")
 
 
 def build_instructions(items: DataFrame, key: str = "id", most: int | None = None) -> DataFrame:

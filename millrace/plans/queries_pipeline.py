@@ -20,7 +20,7 @@ def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 @query()
 def p13_process(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.process(_documents(spark, d, "text")).select("doc_id", "drop_reason", F.round("quality_score", 4).alias("quality_score"), F.length("clean_text").alias("clean_length"))
+    return pipeline.process(_documents(spark, d, "text")).select("doc_id", "drop_reason", F.round("quality_score", 4).alias("quality_score"), F.length("clean_text").alias("clean_length"), "pii_removed")
 
 
 @query()

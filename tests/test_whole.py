@@ -6,6 +6,7 @@ import unicodedata
 
 from millrace.functions import udfs
 from millrace.operators import dedup, guardrails
+from millrace.plans import pipeline
 from millrace.plans.queries import QUERIES
 
 
@@ -91,3 +92,19 @@ def test_blocks_of_similar_texts(spark):
     classes = dedup.text_classes(df, "id", "text")
     few, one = ({tuple(r) for r in dedup.similar_classes(classes, chunk=n).collect()} for n in (7, 3000))
     assert few == one and few
+
+
+def test_pipeline_has_near_copies_and_personal_data(spark):
+    text = (
+        "O relatório que não muda para cada região está com uma descrição. São dados que valem para todos, com isso fica claro o que se mede em cada cidade do país e também quando. "
+        "A equipe registrou os resultados das medições do interior, que serão publicados para consulta com uma nota técnica e isso ajuda. "
+    )
+    other = "Uma carta que não chegou para os moradores com isso está parada. São muitos pedidos, que seguem para uma fila com nomes e números. Escreva para ana@x.com.br ou ligue 98765-4321. Quem mora longe recebe uma resposta por correio, com isso o atendimento fica para depois. São regras que valem para cada bairro e também para quem aluga."
+    swindle = "Este curso gratuito que não existe para todos está com uma oferta. São vagas, que isso seja claro, para uma turma com poucos alunos e nada mais do que isso na cidade. A escola fica perto da praça central, com salas que recebem gente de cada bairro. São horários da noite, para quem trabalha durante o dia e estuda depois."
+    rows = [(1, text + "Fim."), (2, text.replace("claro", "certo") + "Fim."), (3, other), (4, text + "Fim."), (5, swindle), (6, swindle.replace("nada", "pouco")), (7, None)]
+    got = {r.doc_id: r for r in pipeline.process(spark.createDataFrame(rows, "doc_id int, text string"), min_score=0.1).collect()}
+    assert [got[i].drop_reason for i in range(1, 8)] == [None, "duplicate", None, "duplicate", "content", "duplicate", "language"]
+    assert [i for i, r in got.items() if r.pii_removed] == [3]
+    assert "[EMAIL]" in got[3].clean_text and "[TELEFONE]" in got[3].clean_text and "98765" not in got[3].clean_text
+    counted = {r.reason: r for r in pipeline.counters(pipeline.process(spark.createDataFrame(rows, "doc_id int, text string"), min_score=0.1)).collect()}
+    assert counted["kept"].documents == 2 and counted["kept"].pii_removed == 1 and counted["duplicate"].documents == 3
