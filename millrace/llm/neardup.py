@@ -1,8 +1,9 @@
 """Exact similarity join of documents on word triples, for small edits, insertions and new order.
 
-Two texts are linked if their common triples are at least `share` of the triples of either (each at least
-`least_words` words long). Ordering all triples by how rare they are, a text of n triples that must share T of them
-shares at least `l` of its first n - T + l (prefix principle). These rare triples are the pivots: a text lies in the
+Two texts are linked if their common triples are at least `share` of the triples that are in either (Jaccard
+similarity; each text at least `least_words` words long). Ordering all triples by how rare they are, a text of n triples
+that must share T of them shares at least `l` of its first n - T + l (prefix principle); T is least share * n for the
+larger text of a pair and 2 * share / (1 + share) * n for the smaller one. These rare triples are the pivots: a text lies in the
 region of every pivot it holds, not just the nearest, which is what the triangle inequality leaves when almost all
 distances are near 1 (see README). Pivots are dealt by hash to `SHARDS` shards and l is chosen so that a linked pair
 has at least m common pivots in some shard; a region is one shard and one band of sizes (sizes of linked texts differ
@@ -11,7 +12,8 @@ again by blocks of the larger texts. Inside a region posting lists give all pair
 compared triple by triple. Nothing is capped: every linked pair of different texts is found.
 
 The order of rarity comes from a count sketch of fixed size over all rows; any order gives the same result, it only
-decides how much is compared. Texts with equal sets of triples form a class and are compared once.
+decides how much is compared. Texts with equal sets of triples form a class and are compared once; inside it, rows with
+equal title and text are copies (`copy` is the hash of both).
 
 Defined cases: null titles and texts are empty; a row with a null id is left out; texts under `least_words` words have
 no links; repeated rows of an id count once; whole texts are read; an empty table gives empty results.
@@ -42,7 +44,7 @@ REGION_POSTINGS = 3_000_000
 NEEDED_CLASSES = 300_000
 """Up to so many ids of compared texts are broadcast to the readers (at most some 20 MB); beyond, they are joined."""
 EXPAND = 64
-"""Classes of up to so many equal texts are listed as all pairs; larger ones as pairs with their first member."""
+"""Exact copies of up to so many ids are listed as all pairs; larger groups stand as pairs with their first member."""
 TOUCHES = 2_000_000
 ROWS = 400
 BITS = 55
@@ -117,17 +119,17 @@ def _parity(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(counts), width), axis=1).view(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, lower-case texts) of a few rows at a time."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A few rows at a time and their lower-case texts."""
     for whole in batches:
         for start in range(0, whole.num_rows, ROWS):
             batch = whole.slice(start, ROWS)
-            yield batch.column(0).to_pylist(), [t.lower() for t in batch.column(1).to_pylist()]
+            yield batch, [t.lower() for t in batch.column(1).to_pylist()]
 
 
 def _content(df: DataFrame, key: str) -> DataFrame:
     joined = F.concat(F.coalesce(F.col("title"), F.lit("")), F.lit(" "), F.coalesce(F.col("text"), F.lit("")))
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), joined.alias("content"))
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), joined.alias("content"), F.xxhash64(joined).alias("copy"))
 
 
 def _add_cells(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +171,11 @@ def _tiers(share: float, shards: int, common: tuple[int, ...]) -> list[tuple[int
     return found
 
 
+def least_common(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Common triples of two sets of these sizes at which their Jaccard similarity reaches the share."""
+    return np.ceil(share / (1 + share) * (a + b) - 1e-9)
+
+
 def _band(size: np.ndarray, share: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / (-BAND_SHARES * np.log(share)) + 1e-9).astype(np.int64)
 
@@ -190,13 +197,13 @@ def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: f
     for i, (m, sure, least) in enumerate(tiers):
         top = tiers[i + 1][2] - 1 if i + 1 < len(tiers) else 1 << 40
         low = np.maximum(counts, least)
-        need = np.ceil(share * low - 1e-9).astype(np.int64)
-        reach = np.minimum(counts, counts - need + sure)
         own, high = _band(counts, share), np.minimum(largest, top)
         for step in (0, 1):
             band = own + step
             larger = (counts >= least) & (counts <= top) if step == 0 else np.zeros(len(counts), bool)
             smaller = (counts > 0) & (low <= high) & (_band(low, share) <= band) & (band <= _band(high, share))
+            need = np.where(larger, np.ceil(share * counts - 1e-9), least_common(counts, low, share)).astype(np.int64)
+            reach = np.minimum(counts, counts - need + sure)
             take = (larger | smaller)[row] & (place < reach[row]) & (rare > 0)
             out[0].append((i * 1000 + band[row[take]]) * shards + shard[take])
             out[1].append(flat[take])
@@ -254,30 +261,30 @@ def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, as
 
 
 def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_words: int = 20, shards: int = SHARDS, common: tuple[int, ...] = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links of classes (class_a < class_b, common, size_a, size_b), and the class of each id."""
+    """(links, members): links of classes (class_a < class_b, common, size_a, size_b), and class and copy group of each id."""
     spark = df.sparkSession
     content = _content(df, key)
     tiers = _tiers(share, shards, common)
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, none = ["id", "class", "size", "sketch", "cells"], pa.array([None], pa.list_(pa.int64()))
+        names, none = ["id", "copy", "class", "size", "sketch", "cells"], pa.array([None], pa.list_(pa.int64()))
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for ids, texts in _slices(batches):
+        for batch, texts in _slices(batches):
             flat, counts = triples(texts, least_words)
             cell, n = np.unique((flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.uint32), return_counts=True)
             cells[cell] += n.astype(np.uint32)
             take = counts > 0
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(_parity(flat, counts)[take].ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
-            kept = pa.array([i for i, t in zip(ids, take) if t], pa.string())
-            yield pa.RecordBatch.from_arrays([kept, pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch, pa.nulls(len(kept), pa.binary())], names=names)
+            kept, copy = (batch.column(i).filter(pa.array(take)) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([kept, copy, pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch, pa.nulls(len(kept), pa.binary())], names=names)
         used = np.flatnonzero(cells).astype(np.uint32)
         if len(used):
             packed = pa.array([np.concatenate([used, cells[used]]).tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), none, packed], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *[pa.array([0], pa.int64())] * 3, none, packed], names=names)
 
-    read = materialize(content.mapInArrow(class_rows, "id string, class long, size long, sketch array<long>, cells binary"))
+    read = materialize(content.mapInArrow(class_rows, "id string, copy long, class long, size long, sketch array<long>, cells binary"))
     rarity = spark.sparkContext.broadcast(_rarity(read.where("cells is not null").select("cells")))
-    members = materialize(read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "size", "sketch")).alias("m")).select("id", "m.*"))
+    members = materialize(read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "copy", "size", "sketch")).alias("m")).select("id", "m.*"))
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -325,7 +332,8 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
     known = members.groupBy("class").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     of = lambda side: known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "size", "sketch")])
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    allowed = F.col("size_a") + F.col("size_b") - 2 * F.ceil(share * F.greatest("size_a", "size_b") - 1e-9)
+    both = F.col("size_a") + F.col("size_b")
+    allowed = both - 2 * F.ceil(share / (1 + share) * both - 1e-9)
     candidates = materialize(found.distinct().join(of("a"), "class_a").join(of("b"), "class_b").where(differ <= allowed).select("class_a", "class_b"))
     sets = _needed_sets(content, members, candidates, least_words)
     left = sets.select(F.col("class").alias("class_a"), F.col("triples").alias("set_a"))
@@ -340,8 +348,8 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
         return pd.DataFrame(rows, columns=["common", "size_a", "size_b"])
 
     compared = candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", compare("set_a", "set_b").alias("c"))
-    close = (F.col("c.common") >= share * F.col("c.size_a") - 1e-9) & (F.col("c.common") >= share * F.col("c.size_b") - 1e-9)
-    return compared.where(close).select("class_a", "class_b", "c.common", "c.size_a", "c.size_b"), members.select("id", "class")
+    close = F.col("c.common") >= share * (F.col("c.size_a") + F.col("c.size_b") - F.col("c.common")) - 1e-9
+    return compared.where(close).select("class_a", "class_b", "c.common", "c.size_a", "c.size_b"), members.select("id", "class", "copy")
 
 
 def _needed_sets(content: DataFrame, members: DataFrame, candidates: DataFrame, least_words: int) -> DataFrame:
@@ -366,15 +374,17 @@ def _needed_sets(content: DataFrame, members: DataFrame, candidates: DataFrame,
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ids: of linked classes and of equal texts (large classes: with the first member only, see EXPAND)."""
-    sizes = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    listed = members.join(sizes, "class").where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first_id"))).select("id", "class")
+    """Pairs of ids: all pairs of different texts, and all pairs of copies; a group of more than EXPAND exact copies is
+    represented by its first member, the others of it are paired with that one only."""
+    group = members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    grouped = members.join(group, ["class", "copy"])
+    listed = grouped.where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first_id"))).select("id", "class")
     a, b = listed.select(F.col("id").alias("id_1"), F.col("class").alias("class_a")), listed.select(F.col("id").alias("id_2"), F.col("class").alias("class_b"))
     across = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("id_1", "id_2")
-    several = sizes.where("n > 1")
-    small = members.join(several.where(F.col("n") <= EXPAND), "class").select("id", "class")
-    within = small.select(F.col("id").alias("id_1"), "class").join(small.select(F.col("id").alias("id_2"), "class"), "class").where("id_1 < id_2").select("id_1", "id_2")
-    stars = members.join(several.where(F.col("n") > EXPAND), "class").where("id <> first_id").select(F.col("first_id").alias("id_1"), F.col("id").alias("id_2"))
+    several = group.groupBy("class").agg(F.sum("n").alias("ids")).where("ids > 1").select("class")
+    inside = listed.join(several, "class")
+    within = inside.select(F.col("id").alias("id_1"), "class").join(inside.select(F.col("id").alias("id_2"), "class"), "class").where("id_1 < id_2").select("id_1", "id_2")
+    stars = grouped.where((F.col("n") > EXPAND) & (F.col("id") != F.col("first_id"))).select(F.col("first_id").alias("id_1"), F.col("id").alias("id_2"))
     every = across.unionByName(within).unionByName(stars)
     return every.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).where("id_a < id_b").distinct()
 

@@ -137,7 +137,7 @@ def brute_pairs(rows, share=0.6, least=20):
     out = set()
     for a, b in itertools.combinations(sorted(sets), 2):
         common = len(sets[a] & sets[b])
-        if common >= share * len(sets[a]) - 1e-9 and common >= share * len(sets[b]) - 1e-9:
+        if common >= share * len(sets[a] | sets[b]) - 1e-9:
             out.add((a, b))
     return out
 
@@ -171,6 +171,15 @@ def test_neardup_on_tables(spark, data):
     assert got == brute_pairs(rows)
 
 
+def test_large_groups_of_copies_keep_links_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "EXPAND", 3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(f"c{i}", "t", " ".join(base)) for i in range(6)] + [("u", "T", " ".join(base)), ("v", "t", " ".join(base[:-4]))]
+    links, members = neardup.similar_pairs(spark.createDataFrame(rows, "id string, title string, text string"))
+    got = {(r.id_a, r.id_b) for r in neardup.expand_pairs(links, members).collect()}
+    assert got == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "u"), ("c0", "v"), ("u", "v")}
+
+
 def test_neardup_splits_regions_and_is_empty(spark, monkeypatch, data):
     df = table(spark, data, "dataset_entries").select("id", "title", "text")
     whole = {tuple(r) for r in neardup.similar_pairs(df)[0].select("class_a", "class_b").collect()}
