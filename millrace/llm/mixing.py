@@ -8,7 +8,8 @@ and goes through the source again from the front as often as `repeat` allows.
 
 Defined cases: names are compared without case, spaces, `-` and `_`; null, zero and negative token counts add nothing
 and are not selected; rows with one id in one source count once (the largest count holds); null or negative weights
-are 0; null `repeat` is 1, negative is 0; null `max_tokens` is no limit; a source without records has 0 tokens
+are 0, as are weights without a value in decimal(38, 12) (not a number, infinite); weights are taken to 12 decimals, so
+that their sum does not depend on the order of addition; null `repeat` is 1, negative is 0; null `max_tokens` is no limit; a source without records has 0 tokens
 available; a stage without positive weights needs 0 tokens of every source; records with a null id or source are not
 part of any source; empty tables give empty results; extra columns are ignored.
 """
@@ -33,6 +34,12 @@ def _positive(value: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value) | (value < 0), F.lit(0.0)).otherwise(value)
 
 
+def _weight(value: Column) -> Column:
+    """Exact decimal, 0 for null, negative and unusable weights."""
+    exact = F.coalesce(value.cast("double").try_cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))
+    return F.greatest(exact, F.lit(0).cast("decimal(38,12)"))
+
+
 def keyed_records(records: DataFrame, seed: int = 0) -> DataFrame:
     """Distinct records with a positive size: source_key, record_id, tokens, order_key, key_range."""
     return (
@@ -59,8 +66,10 @@ def plan_budgets(offsets: DataFrame, sources: DataFrame, stages: DataFrame) -> D
     lines = (
         sources.select("stage", "name", F.col("weight"), F.col("repeat"), F.col("max_tokens"))
         .withColumn("source_key", source_key(F.col("name")))
-        .withColumn("weight", _positive(F.col("weight")))
-        .withColumn("weight_share", F.col("weight") / F.nullif(F.sum("weight").over(share), F.lit(0.0)))
+        .withColumn("weight", _weight(F.col("weight")))
+        .withColumn("weights", F.sum("weight").over(share).cast("double"))
+        .withColumn("weight", F.col("weight").cast("double"))
+        .withColumn("weight_share", F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)))
         .withColumn("repeat", F.when(F.col("repeat").isNull(), 1.0).otherwise(_positive(F.col("repeat"))))
         .join(stages.select("stage", "target_tokens"), "stage", "left")
         .join(totals, "source_key", "left")
@@ -69,7 +78,7 @@ def plan_budgets(offsets: DataFrame, sources: DataFrame, stages: DataFrame) -> D
     once = F.greatest(F.lit(0), F.least(total, F.coalesce(F.col("max_tokens"), total)))
     return (
         lines.withColumn("epoch_tokens", once.cast("long"))
-        .withColumn("needed", F.coalesce(F.col("target_tokens") * F.col("weight") / F.nullif(F.sum("weight").over(share), F.lit(0.0)), F.lit(0.0)))
+        .withColumn("needed", F.coalesce(F.col("target_tokens") * F.col("weight") / F.nullif(F.col("weights"), F.lit(0.0)), F.lit(0.0)))
         .withColumn("available", F.col("epoch_tokens") * F.col("repeat"))
         .withColumn("planned", F.floor(F.least("needed", "available")).cast("long"))
         .withColumn("whole_epochs", F.when(F.col("epoch_tokens") > 0, F.expr("planned div epoch_tokens")).otherwise(F.lit(0)).cast("long"))

@@ -45,18 +45,19 @@ WITH sizes AS (
   FROM shard_records WHERE token_count > 0 AND source IS NOT NULL AND record_id IS NOT NULL GROUP BY ALL),
 totals AS (SELECT k, sum(n) AS total FROM sizes GROUP BY k),
 lines AS (
-  SELECT s.stage, s.name, CASE WHEN s.weight > 0 AND NOT isnan(s.weight) THEN s.weight ELSE 0.0 END AS w,
+  SELECT s.stage, s.name, greatest(coalesce(TRY_CAST(s.weight AS DECIMAL(38,12)), 0), 0) AS exact_weight, CAST(exact_weight AS DOUBLE) AS w,
          CASE WHEN s.repeat IS NULL THEN 1.0 ELSE greatest(s.repeat, 0.0) END AS r, g.target_tokens AS target,
          greatest(0, least(coalesce(t.total, 0), coalesce(s.max_tokens, t.total, 0))) AS once
   FROM source_configs s LEFT JOIN stage_configs g USING (stage)
   LEFT JOIN totals t ON t.k = regexp_replace(lower(s.name), '[\\s_-]', '', 'g')),
-needs AS (SELECT *, coalesce(target * w / nullif(sum(w) OVER (PARTITION BY stage), 0), 0.0) AS needed, once * r AS available FROM lines)
+summed AS (SELECT *, nullif(CAST(sum(exact_weight) OVER (PARTITION BY stage) AS DOUBLE), 0) AS ws FROM lines),
+needs AS (SELECT *, coalesce(target * w / ws, 0.0) AS needed, once * r AS available FROM summed)
 """
 SQL["p1_found"] = _P1_LINES + "SELECT DISTINCT stage, name FROM needs WHERE available < needed"
 SQL["p1_report"] = (
     _P1_LINES
     + """, plan AS (SELECT DISTINCT stage, name, w, once, needed, CAST(floor(least(needed, available)) AS BIGINT) AS planned,
-  w / nullif(sum(w) OVER (PARTITION BY stage), 0) AS share FROM needs)
+  w / ws AS share FROM needs)
 SELECT stage, name, CAST(floor(needed) AS BIGINT) AS needed_tokens, planned AS planned_tokens, planned AS actual_tokens,
   round(planned / nullif(CAST(once AS DOUBLE), 0), 6) AS repeats, round(share, 6) AS target_share,
   round(planned / nullif(CAST(sum(planned) OVER (PARTITION BY stage) AS DOUBLE), 0), 6) AS actual_share

@@ -46,6 +46,30 @@ def test_mix_cuts_exactly(spark):
     assert len({r.record_id for r in picked}) == len(picked) and sum(r.tokens_taken for r in picked) == 600
 
 
+def test_needs_do_not_depend_on_the_order_of_lines(spark):
+    weights = [0.44, 0.1, 0.2, 0.05, 0.07, 0.3, 0.02, 0.16, 0.1]
+    seen = set()
+    for seed in range(10):
+        order = np.random.default_rng(seed).permutation(len(weights))
+        sources = [("s", f"n{i}", weights[i], None, None, "") for i in order] + [("s", "bad", w, None, None, "") for w in (float("nan"), float("inf"), -1.0, None)]
+        report = _mix(spark, [(i, f"n{i}", 10**9, "") for i in range(len(weights))], sources, [("s", 1_440_000)])["report"]
+        seen.add(tuple(sorted((r.name, r.needed_tokens, r.planned_tokens, r.target_share) for r in report.collect())))
+    assert len(seen) == 1 and sum(n for _, n, *_ in seen.pop()) == 1_440_000
+
+
+def test_selection_keeps_plan_and_repeats(spark, data):
+    records, sources, stages = queries._mixing_tables(spark, data)
+    out = mixing.mix(records, sources, stages)
+    plan = {(r.stage, r.name): r for r in out["budgets"].collect()}
+    taken, uses = {}, {}
+    for r in out["selected"].collect():
+        key = (r.stage, r.name)
+        taken[key] = taken.get(key, 0) + r.tokens_taken
+        uses[key] = max(uses.get(key, 0), r.times)
+    assert {k: r.planned for k, r in plan.items() if r.planned} == taken
+    assert all(n <= np.ceil(plan[k]["repeat"]) for k, n in uses.items())
+
+
 def test_mix_empty(spark):
     out = _mix(spark, [], [("s", "a", 1.0, 1.0, None, "")], [("s", 10)])
     assert out["selected"].count() == 0 and out["report"].first().actual_tokens == 0
