@@ -3,9 +3,12 @@
 Distinct responses are range-partitioned and sorted by text; a response that is a proper beginning of its neighbour is
 a shortened version of it (if any text begins with it, the next distinct one does). Between partitions only the first
 and last response of each is exchanged. Lengths at which unfinished responses pile up, against the lengths around
-them, are length limits. Both are evidence for responses whose ending could also be meant; endings that cannot be meant
-(inside a sentence, an item, a row or a code block) are truncated in any case. Rules for copies, refusals and
-language come first; what the instruction asks for (repeating, translating, refusing, short answers) is no defect.
+them, are length limits. Both are evidence for every response of some length that has no end mark; endings that cannot
+be meant (inside a sentence, an item, a row or a code block) are truncated in any case, which finds most of them, as a
+truncated response need not have its full version in the data (see README). Rules for copies, refusals and language
+come first; what the instruction asks for (repeating, translating, refusing, short answers) is no defect. The language
+model is asked only where an answer has more common words of another language than of the question's, without which no
+answer is judged to be in another language.
 
 Defined cases: a null, blank or placeholder response is `empty`; a null instruction cannot be copied and has no
 language; repeated rows give equal results; texts are compared whole; empty tables give empty results.
@@ -13,6 +16,8 @@ language; repeated rows give equal results; texts are compared whole; empty tabl
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -74,39 +79,61 @@ _SIGNED = regex.compile(r"@|\barroba\b|\(at\)|\[at\]|^\s*[\w\- ]{2,24}:\s|\d{3,}
 _BLANKS = regex.compile(r"</?[A-Za-z][^<>]*>|&(?:nbsp|ensp|emsp|zwnj|#160|#xa0);?")
 
 
-def fold_words(text: str) -> list[str]:
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return regex.findall(r"[^\W_]+", plain)
+_INNER_MARK = re.compile(r"[.!?](?=\s|$|[\"”])")
+_CLOSED = re.compile(r"[”\"»]\s*$")
+_BRACKETED = re.compile(r"\s*[\[<({]{1,2}[^\[\]<>(){}]{1,40}[\]>)}]{1,2}\s*")
+_MARKS = regex.compile(r"\p{Mn}+")
+_FOLDED = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+
+
+@functools.lru_cache(16)
+def fold_words(text: str) -> tuple[str, ...]:
+    low = text.lower()
+    return tuple(_FOLDED.findall(low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", low))))
 
 
 def is_empty(output: str | None) -> bool:
     if output is None:
         return True
     words = fold_words(_BLANKS.sub(" ", output))
-    return not words or len(words) <= 5 and " ".join(words) in PLACEHOLDERS or regex.fullmatch(r"\s*[\[<({]{1,2}[^\[\]<>(){}]{1,40}[\]>)}]{1,2}\s*", output) is not None and len(words) <= 5
+    return not words or len(words) <= 5 and " ".join(words) in PLACEHOLDERS or len(words) <= 5 and _BRACKETED.fullmatch(output) is not None
 
 
 def is_copy(instruction: str | None, given: str | None, output: str) -> bool:
     """The response is the question, once or more, perhaps with its input and a lead-in of a few words."""
     if not instruction or ASKS_REPEAT.search(instruction):
         return False
-    asked, extra, words = fold_words(instruction), set(fold_words(given or "")), fold_words(output)
-    if len(asked) < 3 or len(words) > 3 * (len(asked) + len(fold_words(given or ""))) + 8:
+    asked, words = set(fold_words(instruction)), fold_words(output)
+    if not asked or len(asked & set(words)) < 0.75 * len(asked):
         return False
-    known = set(asked) | extra
-    covered = len(set(asked) & set(words)) / len(set(asked))
-    return covered >= 0.75 and sum(w not in known for w in words) <= 4 + (len(words) > 40)
+    known = asked | set(fold_words(given or ""))
+    return sum(w not in known for w in words) <= (4 + (len(words) > 40) if len(asked) >= 3 else 0)
 
 
 def is_refusal(instruction: str | None, output: str) -> bool:
+    """Short answers refuse by their words, longer ones by an opening too, long ones if half of their sentences do."""
     words = fold_words(output)
-    if len(words) > 60 or ASKS_REFUSAL.search(instruction or ""):
+    if len(words) > 30 and not OPENING.match(output) or ASKS_REFUSAL.search(instruction or ""):
         return False
-    return REFUSAL.search(output) is not None and (len(words) <= 30 or OPENING.match(output) is not None)
+    if len(words) <= 60:
+        return REFUSAL.search(output) is not None
+    parts = [p for p in _SENTENCE.split(output) if p.strip()]
+    return 2 * sum(REFUSAL.search(p) is not None or OPENING.match(p) is not None for p in parts) >= len(parts)
+
+
+EVIDENCE_WORDS = 5
+"""Neighbours and length limits say nothing about answers of fewer words, which begin many others by chance."""
 
 
 def ending(output: str) -> str:
     """cut (cannot be meant), open (no end mark, but it could be meant) or complete."""
+    end = _ending(output)
+    return "open" if end == "complete" and not _END.search(output.rstrip()) and output.rstrip()[-1:] not in "|`”\"»" and len(fold_words(output)) >= EVIDENCE_WORDS else end
+
+
+def _ending(output: str) -> str:
     text = output.rstrip()
     if text.count(_FENCE) % 2:
         return "cut"
@@ -122,13 +149,13 @@ def ending(output: str) -> str:
         return "cut" if not tail or rest[-1] in ",:;(-–" or tail[-1] in DANGLING and len(tail) > 1 else "complete" if not _END.search(rest) and len(tail) < 12 or _END.search(rest) else "open"
     if _CUT_DOTS.search(text):
         return "complete" if len(regex.findall(r"(?:\.\.\.|…)", text)) >= 3 else "cut"
-    if _END.search(text) or regex.search(r"[”\"»]\s*$", text) and _END.search(regex.sub(r"[”\"»\s]+$", "", text)):
+    if _END.search(text) or _CLOSED.search(text) and _END.search(regex.sub(r"[”\"»\s]+$", "", text)):
         return "complete"
     words = fold_words(text)
     if len(words) <= 4:
         return "complete"
     tail = fold_words(last)
-    marks = len(regex.findall(r"[.!?](?=\s|$|[\"”])", text))
+    marks = len(_INNER_MARK.findall(text))
     if "\n" in text and (_SIGNED.search(last) or len(tail) <= 5 and last.istitle()):
         return "open"
     if _SIGNED.search(last[-40:]) and regex.search(r"(?:@|arroba|\(at\)|dot|ponto)", last[-60:]):
@@ -196,20 +223,21 @@ def pair_defects(pairs: DataFrame, model: LanguageModel, words: DataFrame) -> Da
                 rows.append(("truncated" if ends == "cut" else None, ends))
         return pd.DataFrame(rows, columns=["defect", "ends"], dtype=object)
 
-    judged = pairs.withColumn("j", judge(*texts))
-    unsure = judged.where("j.ends = 'open'").select("output")
+    judged = materialize(pairs.withColumn("j", judge(*texts)))
+    unsure = judged.where("j.ends = 'open'").select("output").distinct()
     shortened = shortened_responses(pairs).select(F.col("output").alias("short_output")).distinct()
     limits = length_limits(judged.where("j.ends in ('open', 'cut')").select("output")).select(F.col("size").alias("limit_size"))
-    evidence = unsure.distinct().join(shortened, F.col("output") == F.col("short_output"), "left").join(limits, F.length("output") == F.col("limit_size"), "left")
+    evidence = unsure.join(shortened, F.col("output") == F.col("short_output"), "left").join(limits, F.length("output") == F.col("limit_size"), "left")
     cut = evidence.where("short_output is not null or limit_size is not null").select(F.col("output").alias("cut_output"))
-    found = judged.join(cut, F.col("output") == F.col("cut_output"), "left")
-    late = F.when(F.col("cut_output").isNotNull() & (F.col("j.ends") == "open"), F.lit("truncated"))
+    decided = judged.where("j.ends is null or j.ends <> 'open'").withColumn("cut_output", F.lit(None).cast("string"))
+    found = decided.unionByName(judged.where("j.ends = 'open'").join(cut, F.col("output") == F.col("cut_output"), "left"))
+    late = F.when(F.col("cut_output").isNotNull(), F.lit("truncated"))
     return found.select(*[c for c in pairs.columns if c != "defect"], F.coalesce("j.defect", late).alias("defect"))
 
 
 def asked_language(model: LanguageModel, common: dict[str, frozenset[str]], asked: str) -> str | None:
     """Language of a question: by common words where one language has most of them, else by the model if it is sure."""
-    words = [w.lower() for w in regex.findall(r"[^\W\d_]+", asked)]
+    words = _LETTERS.findall(asked.lower())
     hits = sorted(((sum(w in v for w in words), k) for k, v in common.items()), reverse=True)
     if len(hits) > 1 and hits[0][0] >= 2 and hits[0][0] >= hits[1][0] + 2:
         return hits[0][1]
@@ -220,17 +248,20 @@ def asked_language(model: LanguageModel, common: dict[str, frozenset[str]], aske
 def in_other_language(model: LanguageModel, common: dict[str, frozenset[str]], asked: str | None, answer: str) -> bool:
     if not asked or ASKS_LANGUAGE.search(asked):
         return False
-    wanted, found = asked_language(model, common, asked), model.segments(answer)
+    tokens = _LETTERS.findall(answer.lower())
+    hits = {k: sum(map(v.__contains__, tokens)) for k, v in common.items()}
+    if not hits or len(set(hits.values())) == 1:
+        return False
+    wanted = asked_language(model, common, asked)
+    if wanted is None or hits.get(wanted, 0) == max(hits.values()):
+        return False
+    found = model.segments(answer)
     total = sum(n for _, _, n in found)
-    if wanted is None or not found or total < 5:
+    if total < 5:
         return False
     words: dict[str, int] = {}
     for lang, _, n in found:
         words[lang] = words.get(lang, 0) + n
     main = max(words, key=lambda k: words[k])
     sure = max(c for lang, c, _ in found if lang == main)
-    tokens = [w.lower() for w in regex.findall(r"[^\W\d_]+", answer)]
-    hits = {k: sum(w in v for w in tokens) for k, v in common.items()}
-    if hits.get(main, 0) <= hits.get(wanted, 0):
-        return False
-    return main != wanted and words[main] >= 0.8 * total and sure >= 0.9
+    return main != wanted and hits.get(main, 0) > hits.get(wanted, 0) and words[main] >= 0.8 * total and sure >= 0.9

@@ -226,8 +226,13 @@ def test_pair_rules():
     assert pairs.is_refusal(ask, "Desculpe, mas não posso ajudar com isso.") and pairs.is_refusal(ask, "I can't answer that.")
     assert not pairs.is_refusal("Escreva uma recusa educada para um convite.", "Infelizmente não posso aceitar o convite.")
     assert pairs.ending("It was said that the observatory negotiated the") == "cut"
-    assert pairs.ending("A list:\n1. One thing\n2.") == "cut" and pairs.ending("A list:\n1. One thing\n2. Another thing") == "complete"
+    assert pairs.ending("A list:\n1. One thing\n2.") == "cut" and pairs.ending("A list:\n1. One thing\n2. Another thing") == "open"
     assert pairs.ending("Text.\n```\nselect a from b where (") == "cut" and pairs.ending("Text.\n```\nselect a\n```") == "complete"
+    long = "Sinto muito, mas não posso ajudar com esse assunto delicado neste momento. " * 8
+    assert pairs.is_refusal(ask, long) and not pairs.is_refusal(ask, "Desculpe. " + "O câmbio é a troca de uma moeda por outra, feita todo dia por bancos. " * 8)
+    assert pairs.is_copy("Define inflation", None, "Define inflation.") and not pairs.is_copy("Define inflation", None, "To define inflation: prices rise.")
+    assert pairs.is_copy(ask, None, " ".join([ask] * 5))
+    assert pairs.ending("Some items of the list:\n- the first thing here\n- the second thing") == "open"
     assert pairs.ending("1108") == "complete" and pairs.ending("Done at last.") == "complete" and pairs.ending("| a | b |\n| c |") == "complete"
 
 
