@@ -2,9 +2,11 @@
 
 A page is read in units (lines, and sentences inside lines). Each unit is mostly links with their captions, a product
 or tag line, repeated keywords, a sentence, or something else; the words of each kind and further content and link
-statistics are the features. Weak labels come from clear cases only (far more words in links, tags and keywords than
-in sentences, or far fewer). Trees are grown in numpy on bootstrap samples of at most `TRAIN_PAGES` labelled pages,
-chosen by hash, and vote on all pages. A page's log odds are then moved by those of the other pages of its host.
+statistics are the features. Weak labels do not read the kinds of the units but seven other signs (end marks and common
+words, links, repeated words and pairs, prices, rows), each of which says spam, no spam or nothing; pages on which they
+say nothing or disagree have no label. Trees are grown in numpy on bootstrap samples of at most `TRAIN_PAGES` pages,
+chosen by hash, those of them that have a label, and vote on all pages; a split lies in the middle of the gap it is in.
+A page's log odds are then moved by those of the other pages of its host.
 
 Defined cases: null and blank texts are no spam; pages without a host get no smoothing; repeated rows give equal
 results; whole texts are read; without pages of both labels nothing is found.
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textstats
 from millrace.llm.samples import bounded_sample
+from millrace.session import materialize
 
 FEATURES = (
     "link_share",
@@ -98,7 +101,7 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
         marks = len(_TAG_MARK.findall(raw)) if tagged else 0
         links += max(len(urls), len(captions))
         weight = float(len(words))
-        link_weight = sum(min(len(u), 80) / 9 for u in urls)
+        link_weight = sum(len(u) / 9 for u in urls)
         share = len([w for w in words if w in known]) / len(words) if words else 0.0
         ended = bare.rstrip(_CLOSERS)[-1:] in _ENDS
         if urls or captions:
@@ -144,13 +147,31 @@ def page_features(text: str | None, common: dict[str, frozenset[str]]) -> list[f
     ]
 
 
+def weak_votes(x: np.ndarray) -> np.ndarray:
+    """One row a labeler, one column a page: 1 spam, 0 none, -1 not said."""
+    of = dict(zip(FEATURES, x.T))
+    foreign = of["common_ratio"] < 0.25
+    linkless = of["links_per_word"] < 0.02
+    rows = of["table_share"] + of["noise_share"] >= 0.6
+    items = (of["list_share"] >= 0.8) & (of["top_word_ratio"] < 0.04)
+    return np.stack(
+        [
+            np.where((of["marks_per_word"] >= 0.025) & (of["common_ratio"] >= 0.33), 0, -1),
+            np.where(of["links_per_word"] >= 0.1, 1, -1),
+            np.where((of["top_word_ratio"] >= 0.08) & foreign, 1, -1),
+            np.where((of["repeated_pair_ratio"] >= 0.35) & foreign, 1, -1),
+            np.where((of["prices_per_word"] >= 0.06) & foreign, 1, -1),
+            np.where(rows & linkless, 0, -1),
+            np.where(items & linkless, 0, -1),
+        ]
+    )
+
+
 def weak_label(x: np.ndarray) -> np.ndarray:
-    """1 clear spam, 0 clearly none, -1 not said."""
-    spam, sentence, other = x[:, :4].sum(1), x[:, 4], x[:, 5:8].sum(1)
-    label = np.full(len(x), -1)
-    label[(spam > 1.25 * sentence) & (spam > 0.5)] = 1
-    label[(spam < 0.8 * sentence) | (spam < 0.25) | (other > 2 * spam)] = 0
-    return label
+    """1 spam, 0 none, -1 where no labeler says anything or they disagree."""
+    votes = weak_votes(x)
+    yes, no = (votes == 1).any(0), (votes == 0).any(0)
+    return np.where(yes & ~no, 1, np.where(no & ~yes, 0, -1))
 
 
 class Forest:
@@ -180,7 +201,7 @@ class Forest:
         if depth >= DEPTH or n < 2 * LEAF or s in (0, n):
             return at
         best = (1e-9, -1, 0)
-        for j in rng.permutation(binned.shape[1])[: max(3, binned.shape[1] * 2 // 3)]:
+        for j in rng.permutation(binned.shape[1])[: max(3, binned.shape[1] // 3)]:
             width = len(edges[j]) + 1
             cn = np.bincount(binned[rows, j], minlength=width).cumsum()[:-1]
             cs = np.bincount(binned[rows, j], y[rows], width).cumsum()[:-1]
@@ -188,7 +209,8 @@ class Forest:
             if ok.any():
                 gain = np.where(ok, cs**2 / np.maximum(cn, 1) + (s - cs) ** 2 / np.maximum(n - cn, 1) - s**2 / n, -1)
                 if gain.max() > best[0]:
-                    best = (gain.max(), j, int(gain.argmax()))
+                    gap = np.flatnonzero(cn == cn[gain.argmax()])
+                    best = (gain.max(), j, int(gap[len(gap) // 2]))
         if best[1] < 0:
             return at
         left = binned[rows, best[1]] <= best[2]
@@ -232,7 +254,7 @@ def fit(measured: DataFrame, key: str = "doc_id") -> Forest | None:
 
 
 def spam_probabilities(measured: DataFrame, forest: Forest | None, host: str = "site") -> DataFrame:
-    """measured plus `own` (the trees' vote), `host_rate` (of the host's other pages) and `probability`."""
+    """measured without the features, plus `own` (the trees' vote), `host_rate` (of the host's other pages) and `probability`."""
     shared = measured.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -243,7 +265,7 @@ def spam_probabilities(measured: DataFrame, forest: Forest | None, host: str = "
             out[filled] = shared.value.probability(np.stack(x[filled].to_numpy()))
         return pd.Series(out)
 
-    voted = measured.withColumn("own", vote("x"))
+    voted = materialize(measured.withColumn("own", vote("x")).withColumn("blank", F.col("x").isNull()).drop("x"))
     sums = voted.groupBy(F.col(host).alias("__host")).agg(F.sum("own").alias("host_sum"), F.count("*").alias("host_pages"))
     overall = sums.agg((F.sum("host_sum") / F.sum("host_pages")).alias("overall"))
     logit = lambda p: F.log(p / (1 - p))
@@ -251,4 +273,4 @@ def spam_probabilities(measured: DataFrame, forest: Forest | None, host: str = "
     rate = (F.col("host_sum") - F.col("own") + HOST_PRIOR * F.col("overall")) / (F.col("host_pages") - 1 + HOST_PRIOR)
     joined = voted.join(sums.join(F.broadcast(overall)), F.col(host) == F.col("__host"), "left").withColumn("host_rate", rate)
     moved = logit(clip(F.col("own"))) + F.coalesce(HOST_WEIGHT * (logit(clip(F.col("host_rate"))) - logit(clip(F.col("overall")))), F.lit(0.0))
-    return joined.withColumn("probability", F.when(F.col("x").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-moved)))).drop("__host", "host_sum", "host_pages", "overall")
+    return joined.withColumn("probability", F.when(F.col("blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-moved)))).drop("blank", "__host", "host_sum", "host_pages", "overall")

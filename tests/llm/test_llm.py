@@ -354,6 +354,21 @@ def test_spam(spark, words):
     assert spam.spam_probabilities(empty, spam.fit(empty)).count() == 0
 
 
+def test_weak_labels_abstain_and_trees_decide(spark, words):
+    stuffed = "cheap loans near me cheap loans online cheap loans 2024 " * 12
+    half = stuffed[: len(stuffed) // 2]
+    pages = [f"{TEXT} Part {i} of it." for i in range(40)] + [stuffed + str(i) for i in range(20)] + [f"{TEXT}\n{half}\n{half}{i}" for i in range(20)]
+    x = np.array([spam.page_features(p, COMMON) for p in pages])
+    label = spam.weak_label(x)
+    assert (label[:40] == 0).all() and (label[40:60] == 1).all()
+    conflict = np.array([[0.0] * len(spam.FEATURES)])
+    conflict[0, [spam.FEATURES.index(n) for n in ("marks_per_word", "common_ratio", "links_per_word")]] = 0.05, 0.4, 1.0
+    assert spam.weak_label(conflict).tolist() == [-1] and spam.weak_label(conflict * 0).tolist() == [-1]
+    said = label >= 0
+    p = spam.Forest.grow(x[said], label[said]).probability(x)
+    assert ((p > 0.5) == np.repeat([False, True, True], [40, 20, 20])).all()
+
+
 def test_forest_learns():
     rng = np.random.default_rng(2)
     x = rng.random((600, 5))
