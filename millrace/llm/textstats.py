@@ -3,13 +3,17 @@
 Every line is judged by its form (sentence, list item, row of fields, noise); a document's statistics are its counts,
 ratios and the shares of its words in lines of each form. For each language the mean and covariance of the statistics
 of prose are estimated robustly: start from documents made of sentences, then drop those beyond the 97.5 % quantile
-and estimate again. A document's squared Mahalanobis distance is the sum of one contribution per statistic; a document
-beyond the cutoff whose words are mostly in other lines than sentences is a list, a table or junk, by its largest
-share. Moments are summed in partial sums over all documents; only one row of sums a language reaches the driver.
+and estimate mean and correlations again; the spreads stay those of all the documents it started from, as trimming
+would take prose without end marks or in capitals for impossible. A document's squared Mahalanobis distance is the sum
+of one contribution per statistic. A document is no prose if it is as far from the mean as mean prose would be with half
+of its words moved out of sentences into lines of another form; it is a list, a table or junk by the largest
+contribution of these forms. Moments are summed in partial sums over all documents; only one row of sums a language
+reaches the driver.
 
 Defined cases: null and blank texts have zero counts, no language and kind `blank`; texts of few words and characters
-are `stub`; a null stored count is no finding; repeated rows give equal rows; whole texts are read; in an empty table
-or a language with fewer than `LEAST` prose documents the moments of all languages together (or unit moments) hold.
+are `stub`; a null stored count is no finding; repeated rows give equal rows; whole texts are read; a
+language with fewer than `LEAST` prose documents has the moments of all languages together, and `PRIOR` moments hold
+where these are fewer too.
 """
 
 from __future__ import annotations
@@ -41,9 +45,11 @@ STATISTICS = (
     "odd_word_ratio",
 )
 LEAST = 50
+PRIOR_MEAN = (5.0, 0.03, 0.01, 0.05, 0.9, 0.4, 3.0, 0.08, 1.0, 0.0, 0.0, 0.0, 0.01)
+PRIOR_SPREAD = (1.0, 0.03, 0.03, 0.1, 0.25, 0.1, 1.0, 0.04, 0.05, 0.05, 0.02, 0.02, 0.03)
+"""Mean and spread of the statistics of prose where there is too little of it to estimate them."""
 STUB_WORDS, STUB_CHARS = 15, 150
 COMMON_ROWS = 20_000
-OUTLIER = 0.999
 
 _TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -255,7 +261,7 @@ def _moments(measured: DataFrame, model: dict | None, cutoff: float) -> dict[str
         for batch in batches:
             x = np.stack(batch["stats"].to_numpy()) if len(batch) else np.zeros((0, K))
             lang = batch["lang"].to_numpy()
-            keep = x[:, 8] >= 0.5
+            keep = x[:, SENTENCES] >= 0.5
             for name in set(lang[keep]):
                 rows = x[keep & (lang == name)]
                 if model is not None:
@@ -274,30 +280,48 @@ def _moments(measured: DataFrame, model: dict | None, cutoff: float) -> dict[str
     return {k: (v[0], v[1 : 1 + K], v[1 + K :].reshape(K, K)) for k, v in found.items()}
 
 
-def _model(moments: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    model = {"*": (np.zeros(K), np.eye(K))}
+Model = dict[str, tuple[np.ndarray, np.ndarray, float]]
+SENTENCES, FORMS = 8, {"list": 9, "table": 10, "junk": 11}
+
+
+def _entry(mean: np.ndarray, correlation: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance, and the distance of mean prose half of whose words are in lines of another form."""
+    covariance = correlation * np.outer(spread, spread)
+    covariance[np.diag_indices(K)] = spread**2 * 1.02
+    inverse = np.linalg.inv(covariance)
+    moves = np.zeros((len(FORMS), K))
+    moves[:, SENTENCES] = -0.5
+    moves[np.arange(len(FORMS)), list(FORMS.values())] = 0.5
+    return mean, inverse, float(((moves @ inverse) * moves).sum(1).min())
+
+
+def _spread(n: float, sums: np.ndarray, products: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt(np.maximum(np.diag(products) / n - (sums / n) ** 2, 0)), 0.02)
+
+
+def _model(moments: dict, spreads: dict[str, np.ndarray]) -> Model:
+    model = {"*": _entry(np.array(PRIOR_MEAN), np.eye(K), np.array(PRIOR_SPREAD))}
     for name, (n, sums, products) in moments.items():
         if n >= LEAST:
-            mean = sums / n
-            covariance = products / n - np.outer(mean, mean)
-            spread = np.maximum(np.sqrt(np.maximum(np.diag(covariance), 0)), 0.02)
-            covariance[np.diag_indices(K)] = spread**2 * 1.02
-            model[name] = (mean, np.linalg.inv(covariance))
+            mean, own = sums / n, _spread(n, sums, products)
+            model[name] = _entry(mean, (products / n - np.outer(mean, mean)) / np.outer(own, own), spreads[name])
     return model
 
 
-def prose_model(measured: DataFrame, rounds: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Robust mean and inverse covariance of the statistics of prose, by language; "*" is all languages together."""
-    cutoff = quantile_of_chi2(0.975, K)
-    model = _model(_moments(measured, None, cutoff))
+def prose_model(measured: DataFrame, rounds: int = 2) -> Model:
+    """Robust mean, inverse covariance and cutoff of the statistics of prose, by language; "*" is all together."""
+    trim = quantile_of_chi2(0.975, K)
+    moments = _moments(measured, None, trim)
+    spreads = {k: _spread(*v) for k, v in moments.items()}
+    model = _model(moments, spreads)
     for _ in range(rounds):
-        model = _model(_moments(measured, model, cutoff))
+        model = _model(_moments(measured, model, trim), spreads)
     return model
 
 
 def distances(x: np.ndarray, model: dict, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and each statistic's contribution to them."""
-    mean, inverse = model.get(lang or "*", model["*"])
+    mean, inverse, _ = model.get(lang or "*", model["*"])
     z = x - mean
     parts = z * (z @ inverse)
     return parts.sum(1), parts
@@ -306,7 +330,6 @@ def distances(x: np.ndarray, model: dict, lang: str | None) -> tuple[np.ndarray,
 def judge(measured: DataFrame, model: dict) -> DataFrame:
     """The kind of each document (prose, list, table, junk, stub, blank), its distance and the statistics' contributions."""
     shared = measured.sparkSession.sparkContext.broadcast(model)
-    cutoff = quantile_of_chi2(OUTLIER, K)
 
     @F.pandas_udf("struct<kind:string,distance:double,contributions:array<double>>")
     def run(m: pd.DataFrame) -> pd.DataFrame:
@@ -315,10 +338,8 @@ def judge(measured: DataFrame, model: dict) -> DataFrame:
             x = np.asarray(stats, float)[None, :]
             d, parts = distances(x, shared.value, lang)
             if kind == "text":
-                sentence, items, fields, noise = x[0, 8:12]
-                kind = "prose" if d[0] <= cutoff or sentence >= 0.5 else max((("list", items), ("table", fields), ("junk", noise)), key=lambda p: p[1])[0]
-                if sentence >= 0.5 and d[0] > cutoff and x[0, 5] < 0.1:
-                    kind = "junk"
+                far = d[0] >= shared.value.get(lang or "*", shared.value["*"])[2]
+                kind = max(FORMS, key=lambda k: parts[0, FORMS[k]]) if far else "prose"
             out["kind"].append(kind)
             out["distance"].append(round(float(d[0]), 6))
             out["contributions"].append([round(float(p), 6) for p in parts[0]])

@@ -302,7 +302,8 @@ def test_kinds(spark, data):
 def test_distance_is_a_sum_of_contributions():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, textstats.K))
-    model = textstats._model({"en": (500, x.sum(0), x.T @ x)})
+    moments = (500, x.sum(0), x.T @ x)
+    model = textstats._model({"en": moments}, {"en": textstats._spread(*moments)})
     d, parts = textstats.distances(x, model, "en")
     assert np.allclose(d, parts.sum(1)) and abs(d.mean() - textstats.K) < 1.0
 
