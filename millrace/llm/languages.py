@@ -15,6 +15,7 @@ no usable training sentence nothing is labelled.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -49,6 +50,7 @@ _WORD = textstats._WORD
 _ADDRESS = regex.compile(r"\S*(?:@|://)\S*")
 
 
+@functools.lru_cache(10_000)
 def language_code(label: str | None) -> str | None:
     """pt, en, es or fr for any spelling or regional form of these; None for missing; other labels in lower case."""
     if label is None:
@@ -62,7 +64,7 @@ def language_code(label: str | None) -> str | None:
 def word_features(word: str) -> np.ndarray:
     marked = f"<{word}>"
     grams = [marked] + [marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams[:80]], np.int64)
+    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams], np.int64)
 
 
 def sentences(text: str) -> list[tuple[list[str], int]]:
@@ -78,11 +80,15 @@ def sentences(text: str) -> list[tuple[list[str], int]]:
         if "@" in part or "://" in part:
             part = _ADDRESS.sub(" ", part)
         tokens = _WORD.findall(part)
+        if not tokens:
+            continue
+        lowered = " ".join(tokens).lower().split(" ")
         loud = part.isupper()
-        for i in range(0, len(tokens), STRETCH if len(tokens) > 4 * STRETCH else max(1, len(tokens))):
-            piece = tokens[i : i + STRETCH] if len(tokens) > 4 * STRETCH else tokens
-            words = [w.lower() for j, w in enumerate(piece) if loud or j == 0 or not w[0].isupper()]
-            found.append((words, len(piece)))
+        width = STRETCH if len(tokens) > 4 * STRETCH else len(tokens)
+        for i in range(0, len(tokens), width):
+            low = lowered[i : i + width]
+            words = low if loud else [low[0], *[a for a, b in zip(low[1:], tokens[i + 1 : i + width]) if a[0] == b[0]]]
+            found.append((words, len(low)))
     return found
 
 
@@ -135,7 +141,12 @@ class LanguageModel:
         sure = np.exp(logp.max(1)) >= self.least
         if not sure.any():
             return []
-        weighed = logp * (sure * np.minimum(1.0, told / SEGMENT_WORDS))[:, None]
+        weight = sure * np.minimum(1.0, told / SEGMENT_WORDS)
+        weighed = logp * weight[:, None]
+        top = weighed.argmax(1)[weight > 0]
+        if len(top) and (top == top[0]).all():
+            p = np.exp(logp[:, top[0]])
+            return [(self.kept[top[0]], round(float((size * p).sum() / size.sum()), 4), int(size.sum()))]
         if len(parts) > 1:
             best, back = weighed[0], []
             for row in weighed[1:]:
