@@ -4,8 +4,8 @@ A document larger than the capacity gives full pieces, each a container of its o
 documents) are dealt to shards by hash and packed there in falling size by best fit under conflicts: open bins are kept
 in order of their free space; each bin carries a bitmap of its sources and one of its duplicate clusters; from the
 smallest sufficient free space on, the search goes to the next larger one until a compatible bin is found, which is
-then the tightest. Two documents of one duplicate cluster (equal texts) never share a container; sources conflict where
-`source_conflicts` says so. The bins of a shard that stay less full than `full` are opened again, and their items are
+then the tightest. Two documents of one duplicate cluster never share a container, nor do documents of two sources that
+`source_conflicts` names. The bins of a shard that stay less full than `full` are opened again, and their items are
 packed together once more in fewer shards, until one shard's worth is left; the number of those is small, as every
 shard leaves few open bins.
 
@@ -20,7 +20,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import materialize
@@ -29,6 +29,8 @@ SHARD_ITEMS = 20_000
 """Items that one task packs at a time; the number of shards follows the number of items."""
 FULL = 0.98
 PLANS = 1000
+SOURCE_CONFLICTS = (("legal", "social_media"), ("legal", "forums"), ("academic", "social_media"), ("academic", "forums"))
+"""Sources the queries keep apart: edited reference texts do not share a container with unmoderated talk."""
 
 
 class BestFit:
@@ -85,6 +87,27 @@ def pack_items(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, cap
     return bins, place, np.array(packer.room, np.int64)[bins] if len(bins) else bins
 
 
+def _source_bits(conflicts: tuple[tuple[str, str], ...]) -> tuple[dict[str, int], dict[int, int]]:
+    """Number of each source that has conflicts, and by that number the bitmap of the sources it conflicts with."""
+    number = {n: i for i, n in enumerate(sorted({n for pair in conflicts for n in pair}))}
+    bad = dict.fromkeys(number.values(), 0)
+    for a, b in conflicts:
+        bad[number[a]] |= 1 << number[b]
+        bad[number[b]] |= 1 << number[a]
+    return number, bad
+
+
+def _source_number(number: dict[str, int]) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])[F.col("source")] if number else F.lit(None)
+    return F.coalesce(known, F.lit(-1)).cast("int")
+
+
+def near_copy_cluster(text: Column) -> Column:
+    """Equal for texts that differ in case, punctuation and spaces only; null for texts without letters and digits."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.length(words) > 0, F.xxhash64(words))
+
+
 def pack(sized: DataFrame, plans: DataFrame, source_conflicts: tuple[tuple[str, str], ...] = (), rounds: int = 2) -> DataFrame:
     """plan_id, container, position, piece, doc_id, tokens for sized (doc_id, tokens, source, cluster) and plans (plan_id, seq_len).
 
@@ -93,10 +116,8 @@ def pack(sized: DataFrame, plans: DataFrame, source_conflicts: tuple[tuple[str,
     capacities = plans.where("seq_len >= 1 and plan_id is not null").select("plan_id", F.col("seq_len").cast("long").alias("seq_len")).distinct().limit(PLANS + 1).collect()
     if len(capacities) > PLANS:
         raise ValueError(f"more than {PLANS} plans")
-    names = sorted({n for pair in source_conflicts for n in pair})
-    bits = {i: sum(1 << names.index(b) for a, b in [*source_conflicts, *((b, a) for a, b in source_conflicts)] if a == n) for i, n in enumerate(names)}
-    number = F.coalesce(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])[F.col("source")], F.lit(-1)) if names else F.lit(-1)
-    items = sized.select("doc_id", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"), number.cast("int").alias("source"), F.coalesce(F.col("cluster"), F.xxhash64("doc_id")).cast("long").alias("cluster"))
+    number, bits = _source_bits(source_conflicts)
+    items = sized.select("doc_id", F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"), _source_number(number).alias("source"), F.coalesce(F.col("cluster"), F.xxhash64("doc_id")).cast("long").alias("cluster"))
     plan_rows = [F.struct(F.lit(r["plan_id"]).cast("int").alias("plan_id"), F.lit(r["seq_len"]).cast("long").alias("seq_len")) for r in capacities]
     no_plan = F.from_json(F.lit("[]"), "array<struct<plan_id:int,seq_len:long>>")
     every = items.withColumn("plan", F.explode(F.array(*plan_rows) if plan_rows else no_plan)).select("*", "plan.plan_id", "plan.seq_len").drop("plan")
@@ -137,3 +158,23 @@ def fill_rate(packed: DataFrame, plans: DataFrame) -> DataFrame:
     """Containers, tokens and used share of each plan."""
     used = packed.where("container is not null").groupBy("plan_id").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     return used.join(plans.select("plan_id", "seq_len"), "plan_id").select("plan_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("seq_len")), 6).alias("used_share"))
+
+
+def violations(packed: DataFrame, sized: DataFrame, plans: DataFrame, source_conflicts: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """For each plan the documents placed, and what must be 0: containers beyond the capacity, with conflicting sources or
+    with two documents of a cluster; documents split without need; documents whose pieces do not add up to their size."""
+    number, bits = _source_bits(source_conflicts)
+    known = sized.select(F.col("doc_id").alias("doc"), F.coalesce("tokens", F.lit(0)).alias("size"), _source_number(number).alias("source"), F.coalesce("cluster", F.xxhash64("doc_id")).alias("cluster"))
+    placed = packed.join(known, F.col("doc_id").eqNullSafe(F.col("doc"))).join(F.broadcast(plans.select("plan_id", "seq_len").distinct()), "plan_id")
+    boxes = placed.where("container is not null").groupBy("plan_id", "seq_len", "container").agg(F.sum("tokens").alias("used"), F.collect_set("source").alias("sources"), (F.count("*") - F.count_distinct("cluster")).alias("twins"))
+    clash = F.lit(False)
+    for a, bad in bits.items():
+        for b in range(a + 1, len(number)):
+            if bad >> b & 1:
+                clash = clash | F.array_contains("sources", a) & F.array_contains("sources", b)
+    count = lambda condition, name: F.sum(F.when(condition, 1).otherwise(0)).alias(name)
+    bad_boxes = boxes.groupBy("plan_id").agg(count(F.col("used") > F.col("seq_len"), "over_capacity"), count(clash, "conflicts"), count(F.col("twins") > 0, "twins"))
+    documents = placed.groupBy("plan_id", "seq_len", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("size").alias("size"))
+    split = (F.col("pieces") > 1) & (F.col("size") <= F.col("seq_len")) | (F.col("pieces") > F.ceil(F.col("size") / F.col("seq_len"))) & (F.col("size") > 0)
+    bad_documents = documents.groupBy("plan_id").agg(F.count("*").alias("documents"), count(split, "split"), count(F.col("tokens") != F.col("size"), "incomplete"))
+    return bad_documents.join(bad_boxes, "plan_id", "left").na.fill(0).select("plan_id", "documents", "over_capacity", "conflicts", "twins", "split", "incomplete")

@@ -183,16 +183,28 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    cluster = F.when(F.length("text") > 0, F.xxhash64("text"))
-    return materialize(table(spark, d, "documents").select("doc_id", encode.token_counts(F.col("text")).alias("tokens"), "source", cluster.alias("cluster")))
+    sized = table(spark, d, "documents").select("doc_id", encode.token_counts(F.col("text")).alias("tokens"), "source", packing.near_copy_cluster(F.col("text")).alias("cluster"))
+    return materialize(sized)
 
 
 @query
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_sized(spark, d), table(spark, d, "pack_plans"))
+    return packing.pack(_sized(spark, d), table(spark, d, "pack_plans"), packing.SOURCE_CONFLICTS)
 
 
 @query
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     plans = table(spark, d, "pack_plans")
-    return packing.fill_rate(packing.pack(_sized(spark, d), plans), plans)
+    return packing.fill_rate(packing.pack(_sized(spark, d), plans, packing.SOURCE_CONFLICTS), plans)
+
+
+@query
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    sized, plans = _sized(spark, d), table(spark, d, "pack_plans")
+    return packing.violations(packing.pack(sized, plans, packing.SOURCE_CONFLICTS), sized, plans, packing.SOURCE_CONFLICTS)
+
+
+# What a packing must keep: every document placed, nothing over the capacity, in conflict, doubled, split or lost.
+SQL["p8_violations"] = """
+SELECT plan_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS over_capacity, 0 AS conflicts, 0 AS twins, 0 AS split, 0 AS incomplete
+FROM (SELECT DISTINCT plan_id FROM pack_plans WHERE seq_len >= 1)"""

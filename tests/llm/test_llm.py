@@ -339,6 +339,18 @@ def test_packing_keeps_everything(spark):
     assert packing.pack(sized.limit(0), plans).count() == 0
 
 
+def test_packing_keeps_conflicts_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(1, 90)), str(rng.choice(["legal", "forums", "news", "academic"])), int(rng.integers(0, 150))) for i in range(600)]
+    sized = spark.createDataFrame(rows, "doc_id int, tokens long, source string, cluster long")
+    plans = spark.createDataFrame([(1, "a", 64), (2, "b", 200)], "plan_id int, plan_name string, seq_len int")
+    packed = packing.pack(sized, plans, packing.SOURCE_CONFLICTS)
+    for r in packing.violations(packed, sized, plans, packing.SOURCE_CONFLICTS).collect():
+        assert r.documents == 600 and r.over_capacity + r.conflicts + r.twins + r.split + r.incomplete == 0
+    loose = packing.violations(packing.pack(sized.withColumn("cluster", F.lit(None).cast("long")), plans), sized, plans, packing.SOURCE_CONFLICTS)
+    assert sum(r.conflicts for r in loose.collect()) > 0 and sum(r.twins for r in loose.collect()) > 0
+
+
 # Spam
 
 
