@@ -20,6 +20,79 @@ TOPIC_SYSTEM = {
     "meio_ambiente": "Você é um especialista em meio ambiente e sustentabilidade que fornece análises baseadas em evidências científicas.",
 }
 
+# Fixed instruction templates by topic, and those for other topics.
+TOPIC_TEMPLATES = {
+    "financeiro": [
+        "Explique sobre {title}.",
+        "O que você sabe sobre {topic} relacionado a finanças?",
+        "Forneça informações detalhadas sobre {title}.",
+        "Descreva {title} no contexto financeiro brasileiro.",
+        "Como funciona {title}?",
+    ],
+    "tecnologia": [
+        "Explique o conceito de {title}.",
+        "O que é {title} em tecnologia?",
+        "Descreva como funciona {title}.",
+        "Forneça uma explicação técnica sobre {title}.",
+        "Quais são os principais aspectos de {title}?",
+    ],
+    "ciencias": [
+        "Explique o fenômeno/conceito de {title}.",
+        "O que a ciência diz sobre {title}?",
+        "Descreva {title} cientificamente.",
+        "Quais são as bases científicas de {title}?",
+    ],
+    "saude": [
+        "O que é {title} na área da saúde?",
+        "Explique sobre {title} do ponto de vista médico.",
+        "Forneça informações sobre {title} relacionado à saúde.",
+        "Descreva {title} e sua importância para a saúde.",
+    ],
+    "juridico": [
+        "Explique o aspecto jurídico de {title}.",
+        "O que diz a lei brasileira sobre {title}?",
+        "Descreva {title} do ponto de vista legal.",
+        "Quais são os aspectos legais de {title}?",
+    ],
+    "humanidades": [
+        "Explique {title} do ponto de vista histórico/filosófico.",
+        "O que sabemos sobre {title} nas ciências humanas?",
+        "Descreva a importância de {title} para a sociedade.",
+        "Analise {title} sob a perspectiva humanística.",
+    ],
+    "cultura": [
+        "Fale sobre {title} na cultura brasileira.",
+        "O que representa {title} culturalmente?",
+        "Descreva a importância cultural de {title}.",
+        "Como {title} influencia a cultura?",
+    ],
+    "negocios": [
+        "Explique {title} no contexto empresarial.",
+        "Como funciona {title} nos negócios?",
+        "Descreva {title} para empreendedores.",
+        "Quais são as melhores práticas de {title}?",
+    ],
+    "educacao": [
+        "Explique {title} no contexto educacional.",
+        "Como {title} se aplica à educação?",
+        "Descreva a importância de {title} para o aprendizado.",
+    ],
+    "meio_ambiente": [
+        "Explique {title} no contexto ambiental.",
+        "Qual a importância de {title} para o meio ambiente?",
+        "Descreva {title} e seu impacto ambiental.",
+    ],
+}
+DEFAULT_TEMPLATES = ["Forneça informações sobre {title}.", "Explique {title}.", "O que você sabe sobre {title}?", "Descreva {title} em detalhes."]
+ENTRY_SYSTEM = {
+    "default": "Você é um assistente útil e preciso que fornece informações detalhadas em português brasileiro.",
+    "financeiro": "Você é um especialista em finanças e economia que fornece informações precisas sobre o mercado financeiro brasileiro.",
+    "tecnologia": "Você é um especialista em tecnologia que explica conceitos técnicos de forma clara e acessível.",
+    "juridico": "Você é um especialista em direito brasileiro que explica conceitos jurídicos de forma clara.",
+    "saude": "Você é um profissional de saúde que fornece informações médicas precisas e responsáveis.",
+    "ciencias": "Você é um cientista que explica conceitos científicos de forma acessível e precisa.",
+}
+
 
 def detect_format(columns: dict[str, Column]) -> Column:
     """chatml, sharegpt, alpaca or unknown by the fields that are present (not null)."""
@@ -65,10 +138,28 @@ def fill_template(template: Column) -> Column:
     return F.replace(titled, F.lit("{topic}"), F.coalesce(F.col("topic"), F.lit("")))
 
 
-def entry_formats(entries: DataFrame) -> DataFrame:
-    """id with the alpaca, sharegpt and chatml forms of an entry as JSON."""
-    instruction = fill_template(F.lit("Explique {title}."))
-    alpaca = F.struct(instruction.alias("instruction"), F.lit("").alias("input"), F.coalesce("text", F.lit("")).alias("output"))
-    turns = F.array(F.struct(F.lit("human").alias("from"), instruction.alias("value")), F.struct(F.lit("gpt").alias("from"), F.coalesce("text", F.lit("")).alias("value")))
-    chat = alpaca_messages(instruction, F.lit(""), F.col("text"), topic_prompt(F.col("topic")))
-    return entries.select("id", F.to_json(alpaca).alias("alpaca"), F.to_json(F.struct(turns.alias("conversations"))).alias("sharegpt"), F.to_json(F.struct(chat.alias("messages"))).alias("chatml"))
+def _lookup(table: dict[str, Column], topic: Column) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), F.coalesce(topic, F.lit("")))
+
+
+def pick_template(topic: Column, key: Column, seed: int = 0) -> Column:
+    """One of the topic's templates (or the default ones), chosen evenly by a hash of the seed and the key."""
+    lists = {k: F.array(*map(F.lit, v)) for k, v in TOPIC_TEMPLATES.items()}
+    choice = F.coalesce(_lookup(lists, topic), F.array(*map(F.lit, DEFAULT_TEMPLATES)))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.element_at(choice, (draw % F.size(choice) + 1).cast("int"))
+
+
+def entry_system(topic: Column) -> Column:
+    return F.coalesce(_lookup({k: F.lit(v) for k, v in ENTRY_SYSTEM.items() if k != "default"}, topic), F.lit(ENTRY_SYSTEM["default"]))
+
+
+def entry_formats(entries: DataFrame, seed: int = 0, metadata: bool = False) -> DataFrame:
+    """id with the alpaca, sharegpt and chatml forms of an entry as JSON, with a template of its topic; with metadata, each
+    form has the entry's id, source, topic and quality score (0.7 where there is none)."""
+    instruction, text = fill_template(pick_template(F.col("topic"), F.col("id"), seed)), F.coalesce("text", F.lit(""))
+    extra = [F.struct("id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("quality_score", F.lit(0.7)).alias("quality_score")).alias("metadata")] if metadata else []
+    turns = F.array(F.struct(F.lit("human").alias("from"), instruction.alias("value")), F.struct(F.lit("gpt").alias("from"), text.alias("value")))
+    chat = F.array(message("system", entry_system(F.col("topic"))), message("user", instruction), message("assistant", text))
+    alpaca = F.struct(instruction.alias("instruction"), F.lit("").alias("input"), text.alias("output"), *extra)
+    return entries.select("id", F.to_json(alpaca).alias("alpaca"), F.to_json(F.struct(turns.alias("conversations"), *extra)).alias("sharegpt"), F.to_json(F.struct(chat.alias("messages"), *extra)).alias("chatml"))

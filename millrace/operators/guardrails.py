@@ -182,3 +182,45 @@ def health_alerts(loss: Column, grad_norm: Column, ssm_norm: Column) -> Column:
             F.when(ssm_norm > 50, F.lit("ssm_gradient_high")),
         )
     )
+
+
+def _breakdown(labels: DataFrame, kind: str) -> DataFrame:
+    """(kind, label, n) of an array column `labels`, each label once a row."""
+    return labels.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "label", "n")
+
+
+def _total(df: DataFrame, kind: str, **conditions: Column) -> DataFrame:
+    """(kind, label, n): all rows and how many of them meet each condition, in one aggregation."""
+    counts = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("n")) for k in ("total", *conditions)]))
+    return counts.select(each.alias("s")).select(F.lit(kind).alias("kind"), "s.label", "s.n")
+
+
+def content_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """Counts of texts that pass and fail the content filter, and of texts by reason."""
+    judged = df.select(content_reasons(F.col(text)).alias("labels"))
+    return _total(judged, "content", passed=F.size("labels") == 0, failed=F.size("labels") > 0).unionByName(_breakdown(judged, "content_reason"))
+
+
+def bias_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """Counts of texts with bias, by type and by their highest severity."""
+    judged = df.select(bias_labels(F.col(text)).alias("found"))
+    types = judged.select(F.array_distinct(F.transform("found", lambda x: F.split_part(x, F.lit(":"), F.lit(1)))).alias("labels"))
+    worst = F.array_max(F.transform("found", lambda x: F.array_position(F.array(*map(F.lit, SEVERITY)), F.split_part(x, F.lit(":"), F.lit(2)))))
+    severity = judged.where(F.size("found") > 0).select(F.array(F.element_at(F.array(*map(F.lit, SEVERITY)), worst.cast("int"))).alias("labels"))
+    total = _total(judged, "bias", with_bias=F.size("found") > 0, without_bias=F.size("found") == 0)
+    return total.unionByName(_breakdown(types, "bias_type")).unionByName(_breakdown(severity, "bias_severity"))
+
+
+def language_statistics(df: DataFrame, text: str = "text", targets: tuple[str, ...] = ("pt",), least: float = 0.3) -> DataFrame:
+    """Counts of texts in the target languages, of low confidence and by language."""
+    judged = detect_language(df, text, targets, least)
+    total = _total(judged, "language", target=F.col("is_target"), non_target=~F.col("is_target"), low_confidence=F.col("confidence") < least)
+    return total.unionByName(_breakdown(judged.select(F.array("detected_lang").alias("labels")), "language_of"))
+
+
+def language_candidates(text: Column) -> Column:
+    """Languages with their shares of the marker words, the likeliest first (ties in the order pt, en, es)."""
+    each = F.array(*[F.struct(k_score.alias("share"), F.lit(-i).alias("turn"), F.lit(k).alias("lang")) for i, (k, k_score) in enumerate(language_scores(text).items())])
+    found = F.transform(F.reverse(F.array_sort(F.filter(each, lambda c: c["share"] > 0))), lambda c: F.struct(c["lang"].alias("lang"), c["share"].alias("share")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("pt").alias("lang"), F.lit(0.5).alias("share"))))

@@ -89,7 +89,7 @@ def weighted_choice(draws: DataFrame, sources: DataFrame, u: str = "u") -> DataF
     return draws.withColumn("name", chosen)
 
 
-def running_offsets(df: DataFrame, order: str, size: str, parts: int = 64) -> DataFrame:
+def running_offsets(df: DataFrame, order: str, size: str, parts: int = 1024) -> DataFrame:
     """df plus `offset`, the sum of `size` over all rows before in `order`, without putting all rows into one task: sums
     of ranges of the order key first (few rows), then running sums inside each range."""
     low_high = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
@@ -115,3 +115,10 @@ def shifted_sample(tokens: Column, start: Column, length: int) -> tuple[Column,
     labels = F.slice(window, F.lit(2), F.lit(length))
     pad = lambda a, v: F.concat(a, F.array_repeat(F.lit(v), F.greatest(F.lit(0), F.lit(length) - F.size(a))))
     return pad(inputs, 0), pad(labels, -100)
+
+
+def shard_manifest(counts: DataFrame, source: str, records: str, size: int = 25_000) -> DataFrame:
+    """(source, shard, records) of the size-bounded shards that counts of records make; sources without records have none."""
+    shard = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({records} - 1) div {size}"))).alias("shard")
+    each = counts.where(F.col(records) > 0).select(source, F.col(records).alias("__n"), shard)
+    return each.select(source, "shard", F.least(F.lit(size), F.col("__n") - F.col("shard") * size).cast("long").alias("records"))

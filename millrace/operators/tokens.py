@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +81,71 @@ def blocks(lengths: DataFrame, size: int, order: str = "doc_id", length: str = "
 def split_position(position: Column, total: Column, fraction: float = 0.005) -> Column:
     """Contiguous split: the last floor(total * fraction) positions are validation."""
     return F.when(position >= total - F.floor(total * fraction), "validation").otherwise("train")
+
+
+def concatenated(documents: DataFrame, ids: Column, key: str = "doc_id", text: str = "text", end: int = 50256, least_chars: int = 10) -> DataFrame:
+    """key, ids (with the end token) and n of the documents of a token stream; texts under least_chars characters without
+    the white space around them are left out."""
+    kept = documents.where(F.length(F.regexp_replace(F.col(text), r"^\s+|\s+$", "")) >= least_chars)
+    return kept.select(key, F.concat(ids, F.array(F.lit(end))).alias("ids")).withColumn("n", F.size("ids").cast("long"))
+
+
+EDGE_BYTES, CONTEXT = 4, 16
+
+
+def sample_check(ids: list[int], start: int, length: int, coder, vocabulary: int) -> tuple[bool, bool, str | None]:
+    """(round trip holds, it depends on the window's edges, where bytes are no UTF-8: edge, mid or None) of a window.
+
+    The window must give its own ids when decoded and encoded again; where it does not, it may do so together with up to
+    CONTEXT tokens on both sides.
+    """
+    window = [int(i) for i in ids[start : start + length]]
+    wide = [int(i) for i in ids[max(0, start - CONTEXT) : start + length + CONTEXT] if 0 <= i < vocabulary]
+    invalid = None
+    raw = coder.decode_bytes(wide)
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        invalid = "edge" if e.start < EDGE_BYTES or e.end >= len(raw) - EDGE_BYTES else "mid"
+    if any(not 0 <= i < vocabulary for i in window):
+        return False, False, invalid
+    if coder.encode_ordinary(coder.decode_bytes(window).decode("utf-8", "replace")) == window:
+        return True, False, invalid
+    return coder.encode_ordinary(raw.decode("utf-8", "replace")) == wide, True, invalid
+
+
+def round_trip(tokens: DataFrame, key: str = "doc_id", length: int = 64, folder: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """One window a document (key, ids), its start chosen by hash: key, start, roundtrip_ok, boundary_sensitive,
+    invalid_utf8 and the decoded text. Documents without tokens have no window."""
+    from millrace.functions import bpe
+
+    folder, vocabulary = folder or bpe.FOLDER, vocabulary or bpe.VOCABULARY
+    start = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.size("ids") - length + 1)).cast("int")
+    placed = tokens.where(F.size("ids") > 0).select(key, "ids", start.alias("start"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = bpe.encoding(folder, vocabulary)
+        for rows in batches:
+            checks = [sample_check(i, s, length, coder, coder.n_vocab) for i, s in zip(rows["ids"], rows["start"])]
+            texts = [coder.decode_bytes([int(x) for x in i[s : s + length] if 0 <= x < coder.n_vocab]).decode("utf-8", "replace") for i, s in zip(rows["ids"], rows["start"])]
+            yield pd.DataFrame({key: rows[key], "start": rows["start"], "roundtrip_ok": [c[0] for c in checks], "boundary_sensitive": [c[1] for c in checks], "invalid_utf8": [c[2] for c in checks], "text": texts})
+
+    kind = dict(placed.dtypes)[key]
+    return placed.mapInPandas(run, f"{key} {kind}, start int, roundtrip_ok boolean, boundary_sensitive boolean, invalid_utf8 string, text string")
+
+
+def round_trip_report(windows: DataFrame) -> DataFrame:
+    """Windows, share of mismatches in percent, windows that depend on their edges and that hold broken characters."""
+    return windows.agg(
+        F.count("*").alias("samples"),
+        F.round(100 * F.count_if(~F.col("roundtrip_ok")) / F.greatest(F.lit(1), F.count("*")), 4).alias("mismatch_pct"),
+        F.count_if("boundary_sensitive").alias("boundary_sensitive"),
+        F.count_if(F.col("invalid_utf8") == "edge").alias("invalid_edge"),
+        F.count_if(F.col("invalid_utf8") == "mid").alias("invalid_mid"),
+    )
+
+
+def contamination(detected: DataFrame, expected: str, found: str) -> DataFrame:
+    """By expected language: documents with a detected language, and how many percent of them are in another one."""
+    said = detected.where(F.col(expected).isNotNull() & F.col(found).isNotNull() & (F.col(found) != "unknown"))
+    return said.groupBy(F.col(expected).alias("expected")).agg(F.count("*").alias("detected"), F.round(100 * F.count_if(F.col(found) != F.col(expected)) / F.count("*"), 4).alias("contamination_pct"))

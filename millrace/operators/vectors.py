@@ -62,3 +62,29 @@ def router_load(probabilities: DataFrame, key: str, experts: int, k: int) -> Dat
     """How many tokens each expert gets by the top k, and its mean probability."""
     ranked = probabilities.withColumn("expert", (F.col("i") % experts).cast("int")).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p"), "i")))
     return ranked.groupBy("expert").agg(F.count_if(F.col("__r") <= k).alias("routed"), F.round(F.avg("p"), 8).alias("mean_p"))
+
+
+def tensor_categories(tensors: DataFrame, name: str, values: str, patterns: dict[str, str]) -> DataFrame:
+    """By category (the first pattern that the tensor's name matches, else other): tensors, means of the tensors' mean
+    magnitude, deviation, least and greatest value, root of the summed squares, and tensors with NaN or infinite values.
+
+    A tensor's statistics are computed inside its row; only finite values count in them.
+    """
+    v = F.filter(values, lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
+    n = F.size(v)
+    total = lambda f: F.aggregate(v, F.lit(0.0), lambda a, x: a + f(x))
+    kind = F.lit(None).cast("string")
+    for label, pattern in reversed(patterns.items()):
+        kind = F.when(F.col(name).rlike(pattern), F.lit(label)).otherwise(kind)
+    each = tensors.select(
+        F.coalesce(kind, F.lit("other")).alias("category"),
+        (total(F.abs) / n).alias("magnitude"),
+        F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (total(lambda x: x * x) - total(lambda x: x) * total(lambda x: x) / n) / (n - 1)))).alias("std"),
+        F.array_min(v).alias("least"),
+        F.array_max(v).alias("most"),
+        total(lambda x: x * x).alias("squares"),
+        F.exists(values, F.isnan).alias("has_nan"),
+        F.exists(values, lambda x: F.abs(x) == float("inf")).alias("has_inf"),
+    )
+    means = [F.avg(c).alias(c) for c in ("magnitude", "std", "least", "most")]
+    return each.groupBy("category").agg(F.count("*").alias("tensors"), *means, F.sqrt(F.sum("squares")).alias("norm"), F.count_if("has_nan").alias("nan_tensors"), F.count_if("has_inf").alias("inf_tensors"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, udfs
-from millrace.operators import guardrails
+from millrace.functions import bpe, dates, udfs
+from millrace.operators import guardrails, tokens
 from millrace.plans import pipeline
 from millrace.plans.registry import query
 from millrace.session import table
@@ -44,14 +44,8 @@ def f01_repair_mojibake(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d, udfs.repair(F.col("text")).alias("out"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS out FROM documents WHERE text = nfc_normalize(text) AND regexp_full_match(text, '[\\x00-\\x7F]*')")
-def f02_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    """NFKC leaves texts of plain ASCII as they are; only those are compared here. All texts: f02_nfkc_documents."""
-    return _documents(spark, d, "text", udfs.nfkc(F.col("text")).alias("out")).where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$")).select("doc_id", "out")
-
-
 @query()
-def f02_nfkc_documents(spark: SparkSession, d: str) -> DataFrame:
+def f02_nfkc(spark: SparkSession, d: str) -> DataFrame:
     """Every row of documents; DuckDB has no NFKC, so tests compare with unicodedata."""
     return _documents(spark, d, udfs.nfkc(F.col("text")).alias("out"))
 
@@ -106,12 +100,6 @@ def t19_dates_in_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.date_add(F.lit("2020-01-01").cast("date"), offset).cast("string").alias("day"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND strpos(lower(lang), 'pt') = 0 AND strpos(lower(lang), 'por') = 0")
-def a17_contamination(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("lang")
-    return _documents(spark, d, "lang").where(F.col("lang").isNotNull() & ~F.contains(low, F.lit("pt")) & ~F.contains(low, F.lit("por")))
-
-
 @query(
     """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 100)
 SELECT round(avg(abs(list_dot_product(a.e, b.e) / greatest(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 1e-12))), 6) AS mean_cosine, count(*) AS pairs FROM x a, x b WHERE a.vec_id <> b.vec_id"""
@@ -140,6 +128,32 @@ def x02_x05_x07_eval_hook(spark: SparkSession, d: str) -> DataFrame:
     return hooks.on_eval_batch(_steps(spark, d).select("run_id", "step", F.col("loss").alias("val_loss")))
 
 
+@query()
+def x08_resumed_evals(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation hook over the events in two calls, the second from the state that the first has left."""
+    evals = _steps(spark, d).select("run_id", "step", F.col("loss").alias("val_loss")).where("val_loss is not null")
+    middle = evals.agg(F.max("step").alias("m")).first()["m"] or 0
+    none = spark.createDataFrame([], "run_id string, " + hooks.EVAL_STATE)
+    first, state = hooks.resume_evals(evals.where(F.col("step") <= middle // 2), none)
+    second, _ = hooks.resume_evals(evals.where(F.col("step") > middle // 2), state)
+    return first.unionByName(second)
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.concatenated(_documents(spark, d, "text"), bpe.token_ids(F.col("text")), end=0)
+
+
+@query()
+def m16_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """One window of every document decoded and encoded again; the stream ends each document with token 0."""
+    return tokens.round_trip(_encoded(spark, d)).drop("text")
+
+
+@query()
+def m16_round_trip_report(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.round_trip_report(tokens.round_trip(_encoded(spark, d)))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begin, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def x11_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return hooks.windowed(table(spark, d, "events"), "ts", "value", "event_type").select(F.col("span.start").alias("begin"), "event_type", "n", F.round("mean", 6).alias("mean"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import dedup, formats, guardrails
+from millrace.operators import dedup, formats, guardrails, telemetry, tokens
+from millrace.plans.queries_text import _instruction_sql
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -22,20 +23,32 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
 E = "e AS (SELECT * FROM dataset_entries QUALIFY row_number() OVER (PARTITION BY id ORDER BY collected_date) = 1)"
 
 
-def _sql_content(text: str = "text") -> str:
-    parts = []
-    for c, ps in guardrails.CONTENT_PATTERNS.items():
-        alternatives = _q("|".join(ps).replace(r"\b", ""))
-        parts.append(f"CASE WHEN regexp_matches(coalesce({text}, ''), '(?i)(?:{alternatives})') THEN '{guardrails.CONTENT_REASON[c]}' END")
-    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+def _sql_content(text: str = "text") -> tuple[str, str]:
+    """SQL lists of the reasons and of the flags `category: pattern` of the content filter."""
+    edge = r"(?:^|$|[^\p{L}\p{N}_])"
+    met = lambda ps: f"regexp_matches(coalesce({text}, ''), '(?i)(?:{_q('|'.join(ps).replace(chr(92) + 'b', edge))})')"
+    named = lambda rows: "list_filter([" + ", ".join(f"CASE WHEN {met(ps)} THEN '{_q(label)}' END" for ps, label in rows) + "], lambda x: x IS NOT NULL)"
+    every = guardrails.CONTENT_PATTERNS.items()
+    return named([(ps, guardrails.CONTENT_REASON[c]) for c, ps in every]), named([([p], f"{c}: {p[:50]}") for c, ps in every for p in ps])
 
 
-@query()
+_REASONS, _FLAGS = _sql_content()
+
+
+@query(f"SELECT doc_id, array_to_string({_REASONS}, ',') AS reasons, array_to_string({_FLAGS}, ' | ') AS flags, greatest(0.0::DOUBLE, 1 - 0.2::DOUBLE * len({_FLAGS})) AS confidence FROM documents")
 def g01_content_filter(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(guardrails.content_reasons(t), ",").alias("reasons"), F.array_join(guardrails.content_flags(t), " | ").alias("flags"), guardrails.content_confidence(t).alias("confidence"))
 
 
+@query(
+    f"""WITH r AS (SELECT {_REASONS} AS l FROM documents) SELECT 'content' AS kind, unnest(['total', 'passed', 'failed']) AS label, unnest([count(*), count(*) FILTER (len(l) = 0), count(*) FILTER (len(l) > 0)]) AS n FROM r
+UNION ALL SELECT 'content_reason', label, count(*) FROM (SELECT unnest(l) AS label FROM r) GROUP BY label"""
+)
+def a08_content_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return guardrails.content_statistics(table(spark, d, "documents").select("text"))
+
+
 def _sql_bias(text: str) -> str:
     parts = [f"CASE WHEN regexp_matches({text}, '(?i){_q(p)}') THEN '{label}:{s}' END" for p, label, s in guardrails.BIAS_PATTERNS]
     return "list_sort(list_distinct(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)))"
@@ -46,6 +59,15 @@ def g02_bias(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(guardrails.bias_labels(F.col("text")), ",").alias("labels"))
 
 
+@query(
+    f"""WITH r AS (SELECT {_sql_bias("coalesce(text, '')")} AS l FROM documents), t AS (SELECT list_distinct(list_transform(l, lambda x: split_part(x, ':', 1))) AS types, list_max(list_transform(l, lambda x: list_position(['low', 'medium', 'high'], split_part(x, ':', 2)))) AS worst, l FROM r)
+SELECT 'bias' AS kind, unnest(['total', 'with_bias', 'without_bias']) AS label, unnest([count(*), count(*) FILTER (len(l) > 0), count(*) FILTER (len(l) = 0)]) AS n FROM t
+UNION ALL SELECT 'bias_type', label, count(*) FROM (SELECT unnest(types) AS label FROM t) GROUP BY label UNION ALL SELECT 'bias_severity', list_extract(['low', 'medium', 'high'], worst), count(*) FROM t WHERE len(l) > 0 GROUP BY 2"""
+)
+def a08_bias_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return guardrails.bias_statistics(table(spark, d, "documents").select("text"))
+
+
 _PII = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{_q(p)}')) AS {k}" for k, p in guardrails.PII_PATTERNS.items())
 
 
@@ -78,6 +100,34 @@ def g06_language_partition(spark: SparkSession, d: str) -> DataFrame:
     return guardrails.detect_language(table(spark, d, "documents")).groupBy("is_target").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
+@query(
+    _LANG
+    + """SELECT 'language' AS kind, unnest(['total', 'target', 'non_target', 'low_confidence']) AS label, unnest([count(*), count(*) FILTER (detected_lang = 'pt' AND confidence >= 0.3), count(*) FILTER (NOT (detected_lang = 'pt' AND confidence >= 0.3)), count(*) FILTER (confidence < 0.3)]) AS n FROM l
+UNION ALL SELECT 'language_of', detected_lang, count(*) FROM l GROUP BY detected_lang"""
+)
+def a08_language_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return guardrails.language_statistics(table(spark, d, "documents").select("text"))
+
+
+@query(
+    _LANG
+    + """SELECT doc_id, CASE WHEN best = 0 THEN 'pt' ELSE array_to_string(list_transform(list_reverse_sort(list_filter([{'n': pt, 't': 0, 'l': 'pt'}, {'n': en, 't': -1, 'l': 'en'}, {'n': es, 't': -2, 'l': 'es'}], lambda x: x.n > 0)), lambda x: x.l), ',') END AS candidates,
+round(CASE WHEN best = 0 THEN 0.5 ELSE best / total END, 6) AS share FROM b"""
+)
+def o07_language_candidates(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", guardrails.language_candidates(F.col("text")).alias("c"))
+    return found.select("doc_id", F.array_join(F.transform("c", lambda x: x["lang"]), ",").alias("candidates"), F.round(F.element_at("c", 1)["share"], 6).alias("share"))
+
+
+_EXPECTED = "CASE WHEN lower(lang) LIKE 'pt%' OR lower(lang) LIKE 'por%' THEN 'pt' WHEN lower(lang) LIKE 'en%' THEN 'en' WHEN lower(lang) LIKE 'es%' OR lower(lang) LIKE 'spa%' THEN 'es' END"
+
+
+@query(_LANG + f"SELECT e AS expected, count(*) AS detected, round(100 * count(*) FILTER (detected_lang <> e) / count(*), 4) AS contamination_pct FROM (SELECT {_EXPECTED} AS e, detected_lang FROM l) WHERE e IS NOT NULL AND detected_lang <> 'unknown' GROUP BY e")
+def a17_contamination(spark: SparkSession, d: str) -> DataFrame:
+    judged = guardrails.detect_language(table(spark, d, "documents").select("lang", "text")).withColumn("e", F.expr(_EXPECTED))
+    return tokens.contamination(judged, "e", "detected_lang")
+
+
 def _sql_words(terms: list[str]) -> str:
     return r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(_q(t.lower()) for t in terms) + r")(?:$|[^\p{L}\p{N}_])"
 
@@ -220,9 +270,25 @@ def p15_t15_format_and_last(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "alpaca_records").select("record_id", F.element_at(messages, -1)["content"].alias("last_content"), found.alias("format"))
 
 
-@query()
+_META = "{'id': id, 'source': coalesce(source, 'unknown'), 'topic': coalesce(topic, ''), 'quality_score': coalesce(quality_score, 0.7::DOUBLE)}"
+_ENTRY_SYSTEM = "CASE topic " + " ".join(f"WHEN '{k}' THEN '{_q(v)}'" for k, v in formats.ENTRY_SYSTEM.items() if k != "default") + f" ELSE '{_q(formats.ENTRY_SYSTEM['default'])}' END"
+
+
+@query(
+    f"""WITH i AS (SELECT DISTINCT ON (id) id, {_instruction_sql("topic")} AS instruction, coalesce(text, '') AS t, topic FROM dataset_entries)
+SELECT id, to_json({{'instruction': instruction, 'input': '', 'output': t}})::VARCHAR AS alpaca, to_json({{'conversations': [{{'from': 'human', 'value': instruction}}, {{'from': 'gpt', 'value': t}}]}})::VARCHAR AS sharegpt,
+to_json({{'messages': [{{'role': 'system', 'content': {_ENTRY_SYSTEM}}}, {{'role': 'user', 'content': instruction}}, {{'role': 'assistant', 'content': t}}]}})::VARCHAR AS chatml FROM i"""
+)
 def t14_entry_formats(spark: SparkSession, d: str) -> DataFrame:
-    return formats.entry_formats(table(spark, d, "dataset_entries"))
+    return formats.entry_formats(table(spark, d, "dataset_entries").drop("collected_date").dropDuplicates(["id"]))
+
+
+@query(f"SELECT DISTINCT id, {_META}.source AS source, {_META}.topic AS topic, round({_META}.quality_score, 6) AS quality_score FROM dataset_entries")
+def t14_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata of the alpaca form, read back from its JSON."""
+    made = formats.entry_formats(table(spark, d, "dataset_entries"), metadata=True)
+    meta = F.from_json(F.get_json_object("alpaca", "$.metadata"), "id string, source string, topic string, quality_score double").alias("m")
+    return made.select(meta).select("m.id", "m.source", "m.topic", F.round("m.quality_score", 6).alias("quality_score")).distinct()
 
 
 @query("SELECT coalesce(metadata.topic, 'unknown') AS topic, coalesce(metadata.source, 'unknown') AS source, count(*) AS records, CAST(sum(length(coalesce(output, '')) // 4) AS BIGINT) AS tokens FROM alpaca_records GROUP BY GROUPING SETS ((metadata.topic), (metadata.source), ())")
@@ -279,14 +345,20 @@ def p08_posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("source = 'social_media' and length(text) >= 50 and text not in ('[removed]', '[deleted]') and coalesce(n_chars, 0) >= 10").select("doc_id")
 
 
-@query("SELECT name, stage FROM source_configs WHERE coalesce(weight, 1.0) > 0")
+@query("SELECT name, stage FROM source_configs WHERE coalesce(weight > 0, true)")
 def p09_enabled(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_configs").where("coalesce(weight, 1.0d) > 0").select("name", "stage")
+    """Sources that are not switched off; without a switch (here: without a weight) a source is on."""
+    return table(spark, d, "source_configs").withColumn("enabled", F.col("weight") > 0).where(F.coalesce("enabled", F.lit(True))).select("name", "stage")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' OR props ILIKE '%\"k\": 7%'")
+@query(
+    "SELECT event_id AS step, event_type AS policy, CASE WHEN event_id % 3 = 1 THEN upper(event_type) || '_LR' WHEN event_id % 3 = 2 THEN 'REDUCE' END AS action FROM events WHERE event_id BETWEEN 100 AND 50000 AND (event_type = 'click' OR event_id % 3 = 1 AND contains(lower(event_type) || '_lr', 'click'))"
+)
 def p10_p18_policy_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where((F.col("event_type") == "click") | F.col("props").ilike('%"k": 7%')).select("event_id", "event_type")
+    """Entries of a decision log by policy or type of action and by steps; the action of every third entry is null."""
+    kind = F.when(F.col("event_id") % 3 == 1, F.concat(F.upper("event_type"), F.lit("_LR"))).when(F.col("event_id") % 3 == 2, "REDUCE")
+    log = table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("policy"), F.when(kind.isNotNull(), F.struct(kind.alias("type"))).alias("action"))
+    return telemetry.filter_decisions(log, "click", 100, 50000).select("step", "policy", F.col("action.type").alias("action"))
 
 
 @query(

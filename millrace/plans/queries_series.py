@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates
 from millrace.functions import text as tx
-from millrace.operators import sampling, telemetry, tokens
+from millrace.operators import sampling, telemetry, tokens, vectors
 from millrace.plans.registry import query
 from millrace.session import table
+from millrace.sources import acquire
 
 _TOK = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w),
@@ -155,10 +156,10 @@ def m12_epoch_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stage_configs").select("stage", F.greatest(F.lit(1), F.expr("target_tokens div 2048")).alias("epoch_length"))
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, source FROM documents WHERE source IS NOT NULL) SELECT source, (rn - 1) // 8 AS batch, min(doc_id) AS first_doc FROM r WHERE rn <= 40 GROUP BY ALL HAVING count(*) = 8")
+@query("WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, source FROM documents WHERE source IS NOT NULL) SELECT source, (rn - 1) // 8 AS batch, min(doc_id) AS first_doc, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS documents FROM r WHERE rn <= 40 GROUP BY ALL HAVING count(*) = 8")
 def m14_fixed_batches(spark: SparkSession, d: str) -> DataFrame:
     numbered = sampling.round_robin(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), "source", "doc_id").where("turn <= 40")
-    return numbered.groupBy("source", F.floor((F.col("turn") - 1) / 8).alias("batch")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n = 8").drop("n")
+    return numbered.groupBy("source", F.floor((F.col("turn") - 1) / 8).alias("batch")).agg(F.min("doc_id").alias("first_doc"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("documents"), F.count("*").alias("n")).where("n = 8").drop("n")
 
 
 @query("SELECT stage, name, round(100 * w / sum(w) OVER (PARTITION BY stage), 4) AS percent FROM (SELECT stage, name, greatest(coalesce(weight, 0), 0) * greatest(coalesce(repeat, 1), 0) AS w FROM source_configs) WHERE w > 0")
@@ -335,20 +336,62 @@ def a31_t10_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.expr("event_id div 100").alias("bucket")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("user_id").alias("users"))
 
 
-_CLASSIFY = (
-    _SER
-    + f""", m AS (SELECT *, avg(value) OVER f AS mean, coalesce(stddev_samp(value) OVER f, 0) AS std, coalesce(stddev_samp(value / 100) OVER f, 0) AS gstd, avg((value / 100 >= 0.95 * 2.0)::INT::DOUBLE) OVER f AS clip, avg((value / 100 >= 0.95 * 2.0)::INT::DOUBLE) OVER g AS wide,
-  CASE WHEN count(value) OVER f >= 3 THEN regr_slope(value, pos) OVER f ELSE 0 END AS trend, max(value) OVER p - min(value) OVER p AS rng, coalesce(stddev_samp(value) OVER p, 0) AS pstd FROM s
-  WINDOW f AS ({_O} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), g AS ({_O} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), p AS ({_O} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT event_id, CASE WHEN pos < 10 THEN 'HEALTHY_LEARNING' WHEN pos >= 25 AND clip >= 0.8 THEN 'PLATEAU_RUIDOSO_COM_CLIPPING' WHEN std / greatest(mean, 1e-6) > 0.3 OR gstd > 2 THEN 'UNSTABLE_EXPLORATION' WHEN wide >= 0.7 AND trend >= 0 THEN 'PLATEAU_RUIDOSO_COM_CLIPPING'
- WHEN rng < 0.02 AND pos >= 3 AND pstd < 0.01 THEN 'REAL_PLATEAU' WHEN rng < 0.02 AND pos >= 3 THEN 'NOISY_PLATEAU' ELSE 'HEALTHY_LEARNING' END AS regime FROM m"""
-)
+# Runs by user, of different loss, noise, gradients and learning rates, with an evaluation at every seventh event.
+_STEPS = """WITH e AS (SELECT event_id, ts, value, user_id % 20 AS run, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS pos FROM events WHERE value IS NOT NULL),
+s AS (SELECT event_id, ts, run, pos, 2::DOUBLE + value * (run % 4) / 2000 - CASE WHEN run % 3 = 0 THEN pos / 10000 ELSE 0 END AS loss, 0.2::DOUBLE + (run % 5) * 0.2::DOUBLE + value / 1000 AS grad,
+  0.0003::DOUBLE + CASE WHEN run % 2 = 0 THEN 0 ELSE value / 1000000 END AS lr, CASE WHEN event_id % 7 = 0 THEN 2::DOUBLE + value * (run % 6) / 20000 END AS val_loss FROM e)
+"""
 
 
-@query(_CLASSIFY)
-def x03_x04_regimes(spark: SparkSession, d: str) -> DataFrame:
-    steps = _events(spark, d).withColumn("grad", F.col("value") / 100)
-    return telemetry.classify(steps, RUN, ORDER, "value", "grad", 2.0).select("event_id", "regime")
+def _regime_sql(scaled: bool) -> str:
+    clip = "WHEN clipped_run >= 5 THEN 'PLATEAU_RUIDOSO_COM_CLIPPING' WHEN pos >= 25 AND clip_share >= 0.8 THEN 'PLATEAU_RUIDOSO_COM_CLIPPING'" if scaled else ""
+    persistent = "WHEN persistent AND NOT falling THEN 'PLATEAU_RUIDOSO_COM_CLIPPING'" if scaled else ""
+    last = "WHEN persistent THEN 'PLATEAU_RUIDOSO_COM_CLIPPING'" if scaled else ""
+    frame = lambda n: f"(PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return (
+        _STEPS
+        + f""", c AS (SELECT *, (grad >= 0.95 * 1.0)::INT AS clipped, val_loss IS NOT NULL AS ev FROM s),
+b AS (SELECT *, sum(1 - clipped) OVER (PARTITION BY run ORDER BY ts, event_id) AS breaks,
+  CASE WHEN ev AND loss < lag(loss) OVER (PARTITION BY run, ev ORDER BY ts, event_id) AND val_loss > lag(val_loss) OVER (PARTITION BY run, ev ORDER BY ts, event_id) THEN 1 ELSE 0 END AS parted FROM c),
+v AS (SELECT *, sum(clipped) OVER (PARTITION BY run, breaks ORDER BY ts, event_id) AS clipped_run,
+  CASE WHEN ev THEN row_number() OVER w END AS n0, CASE WHEN ev THEN max(val_loss) OVER p - min(val_loss) OVER p END AS r0, CASE WHEN ev THEN coalesce(stddev_samp(val_loss) OVER p, 0) END AS s0, CASE WHEN ev THEN sum(parted) OVER o >= 4 END AS o0
+  FROM b WINDOW w AS (PARTITION BY run, ev ORDER BY ts, event_id), p AS (PARTITION BY run, ev ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), o AS (PARTITION BY run, ev ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, last_value(n0 IGNORE NULLS) OVER u AS evals, last_value(r0 IGNORE NULLS) OVER u AS val_range, last_value(s0 IGNORE NULLS) OVER u AS val_std, last_value(o0 IGNORE NULLS) OVER u AS over,
+  coalesce(stddev_samp(loss) OVER f50, 0) / greatest(avg(loss) OVER f50, 1e-6) AS cv, coalesce(stddev_samp(grad) OVER f50, 0) AS gstd, avg(clipped) OVER f50 AS clip_share, avg(clipped) OVER f100 AS wide,
+  CASE WHEN count(*) OVER f30 >= 3 THEN regr_slope(loss, pos) OVER f30 ELSE 0 END AS trend, avg(loss) OVER f30 AS tmean, coalesce(stddev_samp(loss) OVER f30, 0) AS tstd,
+  max(lr) OVER f10 - min(lr) OVER f10 AS lr_range, max(loss) OVER f20 - min(loss) OVER f20 AS loss_range
+  FROM v WINDOW u AS (PARTITION BY run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f10 AS {frame(10)}, f20 AS {frame(20)}, f30 AS {frame(30)}, f50 AS {frame(50)}, f100 AS {frame(100)}),
+x AS (SELECT *, trend < 0 AND (tmean <= 1e-6 OR -trend / tmean >= 0.1 * greatest(tstd / tmean, 1e-6)) AS falling, pos >= 50 AND wide >= 0.7 AS persistent FROM m)
+SELECT event_id, CASE WHEN pos < 10 THEN 'HEALTHY_LEARNING' {clip} WHEN cv > 0.3 OR gstd > {3.0 if scaled else 2.0} THEN 'UNSTABLE_EXPLORATION' {persistent}
+  WHEN evals >= 5 AND over {"AND NOT persistent" if scaled else ""} THEN 'LATE_OVERFITTING' WHEN evals >= 3 AND val_range < 0.02 AND val_std < 0.01 THEN 'REAL_PLATEAU' WHEN evals >= 3 AND val_range < 0.02 THEN 'NOISY_PLATEAU'
+  WHEN lr_range < 1e-6 AND loss_range < 0.05 THEN 'CONVERGENCE' {last} ELSE 'HEALTHY_LEARNING' END AS regime FROM x"""
+    )
+
+
+def _regimes(spark: SparkSession, d: str, scaled: bool) -> DataFrame:
+    run, v = F.col("user_id") % 20, F.col("value")
+    placed = table(spark, d, "events").where("value is not null").select("event_id", "ts", "value", run.alias("run")).withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(*ORDER)))
+    run = F.col("run")
+    steps = placed.select(
+        "event_id",
+        "ts",
+        "run",
+        (F.lit(2.0) + v * (run % 4) / 2000 - F.when(run % 3 == 0, F.col("place") / 10000).otherwise(F.lit(0.0))).alias("loss"),
+        (F.lit(0.2) + (run % 5) * 0.2 + v / 1000).alias("grad"),
+        (F.lit(0.0003) + F.when(run % 2 == 0, F.lit(0.0)).otherwise(v / 1000000)).alias("lr"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(2.0) + v * (run % 6) / 20000).alias("val_loss"),
+    )
+    return telemetry.classify(steps, "run", ORDER, "loss", "grad", 1.0, scaled=scaled).select("event_id", "regime")
+
+
+@query(_regime_sql(False))
+def x03_regimes(spark: SparkSession, d: str) -> DataFrame:
+    return _regimes(spark, d, False)
+
+
+@query(_regime_sql(True))
+def x04_regimes(spark: SparkSession, d: str) -> DataFrame:
+    return _regimes(spark, d, True)
 
 
 @query(
@@ -457,10 +500,11 @@ def a29_a32_n10_weight_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v")).groupBy("label").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"), F.round(F.avg((F.abs(v) < 0.05).cast("double")), 6).alias("near_zero"), F.round(F.sqrt(F.sum(v * v)), 4).alias("norm"))
 
 
-@query("SELECT user_id, round(CASE WHEN sum(value) / count(*) < 100 THEN exp(sum(value) / count(*) / 10) ELSE 1e308 END, 4) AS perplexity FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id, round(CASE WHEN sum(value) / sum(n) < 100 THEN exp(sum(value) / sum(n)) ELSE 'inf'::DOUBLE END, 6) AS perplexity FROM (SELECT user_id, value, 1 + event_id % 97 AS n FROM events) GROUP BY user_id"
+)
 def n11_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    mean = F.sum("value") / F.count("*")
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.when(mean < 100, F.exp(mean / 10)).otherwise(F.lit(1e308)), 4).alias("perplexity"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(telemetry.perplexity(F.col("value"), 1 + F.col("event_id") % 97), 6).alias("perplexity"))
 
 
 @query(_SER + "SELECT event_type, round(avg(value), 6) AS mean_time, round(1000 / avg(value), 6) AS per_second, count(*) AS rounds FROM s WHERE pos > 3 GROUP BY event_type")
@@ -469,14 +513,39 @@ def n12_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(RUN).agg(F.round(F.avg("value"), 6).alias("mean_time"), F.round(1000 / F.avg("value"), 6).alias("per_second"), F.count("*").alias("rounds"))
 
 
-@query("SELECT stage, start_step::BIGINT * 4 * 8 * 2048 AS tokens_trained, round(target_tokens * 2 / 1073741824.0, 6) AS gigabytes FROM stage_configs")
+_CONFIGS = "SELECT stage, start_step::BIGINT AS step, target_tokens::DOUBLE / 20 AS params, 12 AS layers, 768 AS width, 2 AS batch, 2048 AS len, CASE WHEN end_step IS NULL THEN 0 WHEN start_step % 5000 = 0 THEN target_tokens END AS stored FROM stage_configs"
+
+
+@query(
+    f"""SELECT stage, CASE WHEN coalesce(stored, 0) <> 0 THEN stored ELSE step * batch * 8 * len END AS tokens_trained, round(params * 4 / 1e9, 2) AS params_gb, round(params * 8 / 1e9, 2) AS optim_gb, round(layers * batch * len * width * 2 / 1e9, 2) AS activations_gb,
+round((params * 16 + layers * batch * len * width * 2) / 1e9, 2) AS total_gb FROM ({_CONFIGS})"""
+)
 def n13_memory(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "stage_configs").select("stage", (F.col("start_step").cast("long") * 4 * 8 * 2048).alias("tokens_trained"), F.round(F.col("target_tokens") * 2 / F.lit(float(1 << 30)), 6).alias("gigabytes"))
+    """Training memory and trained tokens of model configurations, here one a stage."""
+    stored = F.when(F.col("end_step").isNull(), F.lit(0).cast("long")).when(F.col("start_step") % 5000 == 0, F.col("target_tokens"))
+    memory = telemetry.memory_gigabytes(F.col("target_tokens").cast("double") / 20, F.lit(12), F.lit(768), F.lit(2), F.lit(2048))
+    rows = table(spark, d, "stage_configs").select("stage", telemetry.trained_tokens(stored, F.col("start_step"), F.lit(2), F.lit(8), F.lit(2048)).alias("tokens_trained"), memory.alias("m"))
+    return rows.select("stage", "tokens_trained", "m.params_gb", "m.optim_gb", "m.activations_gb", "m.total_gb")
 
 
-@query("SELECT source_dataset, count(*) AS records, (count(*) + 999) // 1000 AS shards FROM shard_records GROUP BY source_dataset")
+@query("WITH c AS (SELECT source_dataset, count(*) AS n FROM shard_records GROUP BY source_dataset), s AS (SELECT *, unnest(range(0, (n + 999) // 1000)) AS shard FROM c) SELECT source_dataset, shard, least(1000, n - shard * 1000) AS records FROM s")
 def k06_shard_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "shard_records").groupBy("source_dataset").agg(F.count("*").alias("records")).withColumn("shards", F.expr("(records + 999) div 1000"))
+    """The manifest of shards of at most 1000 records a source: every full one and the rest."""
+    counts = table(spark, d, "shard_records").groupBy("source_dataset").agg(F.count("*").alias("n"))
+    return sampling.shard_manifest(counts, "source_dataset", "n", 1000)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 >= count(*) OVER () - floor(count(*) OVER () * 0.005) THEN 'validation' ELSE 'train' END AS split FROM lineitem"
+)
+def m07_split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its part: positions of order keys by ranges, then of the few rows inside a key."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    per_key = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    placed = sampling.running_offsets(per_key, "l_orderkey", "n").crossJoin(F.broadcast(per_key.agg(F.sum("n").alias("total"))))
+    inside = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    numbered = rows.withColumn("place", inside).join(placed.select("l_orderkey", "offset", "total"), "l_orderkey")
+    return numbered.select("l_orderkey", "l_linenumber", tokens.split_position(F.col("offset") + F.col("place") - 1, F.col("total")).alias("split"))
 
 
 @query(f"SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) > 3 AND row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) > 1")
@@ -487,10 +556,68 @@ def k14_retention(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).withColumn("a", latest).withColumn("b", best).where("a > 3 and b > 1").select("event_id", "event_type")
 
 
-@query("SELECT stage, name, greatest(coalesce(weight, 0), 0) > 0 AS available, min_by(path, name) OVER (PARTITION BY stage) AS fallback FROM source_configs")
+@query("SELECT doc_id FROM documents WHERE source = 'books' AND text IS NOT NULL")
 def s07_fallback(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("stage")
-    return table(spark, d, "source_configs").select("stage", "name", (F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)) > 0).alias("available"), F.min_by("path", "name").over(w).alias("fallback"))
+    """The first source of a chain that opens and has text: one that is missing, one that is empty, one without text, books."""
+    documents = table(spark, d, "documents")
+    chain = [
+        (3, "no_text", lambda: documents.where("text is null").select("doc_id", "text")),
+        (1, "missing", lambda: table(spark, d, "no_such_table")),
+        (2, "empty", lambda: documents.where("source = 'no such source'")),
+        (4, "books", lambda: documents.where("source = 'books' and text is not null").orderBy(F.desc(F.length("text")))),
+        (5, "news", lambda: documents.where("source = 'news'")),
+    ]
+    return acquire.first_usable(chain)[1].select("doc_id")
+
+
+@query("SELECT 'pt' AS lang, 'books' AS source, count(*) AS documents FROM documents WHERE source = 'books' AND text IS NOT NULL UNION ALL SELECT 'en', 'news', count(*) FROM documents WHERE source = 'news' AND text IS NOT NULL")
+def s08_bilingual(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda source: lambda: table(spark, d, "documents").where(F.col("source") == source).where("text is not null").orderBy(F.desc(F.length("text")))
+    both = acquire.bilingual({"pt": [(1, "missing", lambda: table(spark, d, "no_such_table")), (2, "books", of("books"))], "en": [(1, "news", of("news"))]})
+    return both.groupBy("lang", "source").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT arg_min(o_orderkey, {'v': o_totalprice, 'k': o_orderkey}) AS best_key, min(o_totalprice) AS best_value FROM orders WHERE o_totalprice IS NOT NULL AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def s16_best_existing(spark: SparkSession, d: str) -> DataFrame:
+    """The least value among entries that have a file; orders and their large items stand for sidecars and files."""
+    files = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return acquire.best_existing(table(spark, d, "orders"), files, "o_orderkey", "o_totalprice")
+
+
+@query("SELECT y AS year, t AS topic, t || ' ' || y AS query, p * 50 AS offset FROM range(2020, 2024) a(y), (VALUES ('juros'), ('saude')) b(t), range(20) c(p)")
+def s19_search_plan(spark: SparkSession, d: str) -> DataFrame:
+    return acquire.search_plan(spark, [2020, 2021, 2022, 2023], ["juros", "saude"])
+
+
+@query("SELECT id FROM dataset_entries WHERE year(published_date) BETWEEN 2021 AND 2022")
+def s18_year_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dataset_entries").where(acquire.in_years(F.col("published_date"), 2021, 2022)).select("id")
+
+
+_CAT = "CASE WHEN label % 3 = 0 THEN 'embedding' WHEN label % 3 = 1 THEN 'linear' ELSE 'other' END"
+
+
+@query(
+    f"""WITH t AS (SELECT {_CAT} AS category, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT category, list_avg(list_transform(v, lambda x: abs(x))) AS magnitude, list_stddev_samp(v) AS std, list_min(v) AS least, list_max(v) AS most, list_dot_product(v, v) AS squares FROM t)
+SELECT category, count(*) AS tensors, round(avg(magnitude), 6) AS magnitude, round(avg(std), 6) AS std, round(avg(least), 6) AS least, round(avg(most), 6) AS most, round(sqrt(sum(squares)), 4) AS norm, 0 AS nan_tensors, 0 AS inf_tensors FROM e GROUP BY category"""
+)
+def a32_n10_tensor_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector stands for a tensor, its label for the layer in the tensor's name."""
+    name = F.element_at(F.array(F.lit("model.embedding.weight"), F.lit("layers.0.in_proj.weight"), F.lit("head.bias")), (F.col("label") % 3 + 1).cast("int"))
+    tensors = table(spark, d, "embeddings").select(name.alias("name"), F.col("embedding").cast("array<double>").alias("values"))
+    found = vectors.tensor_categories(tensors, "name", "values", {"embedding": r"embedding|lm_head", "linear": r"in_proj|out_proj"})
+    return found.select("category", "tensors", *[F.round(c, 6).alias(c) for c in ("magnitude", "std", "least", "most")], F.round("norm", 4).alias("norm"), "nan_tensors", "inf_tensors")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, 1 + len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n FROM documents WHERE length(regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')) >= 10),
+o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS off FROM t) SELECT doc_id, n, CAST(off AS BIGINT) AS "offset" FROM o"""
+)
+def m11_end_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Places of documents in a stream with an end token after each; texts under ten characters are left out."""
+    words = F.transform(tx.words(F.col("text")), lambda w: F.lit(1))
+    stream = tokens.concatenated(table(spark, d, "documents"), words)
+    return sampling.running_offsets(stream.select("doc_id", "n"), "doc_id", "n").select("doc_id", "n", F.col("offset").cast("long").alias("offset"))
 
 
 @query(_TOK + "SELECT count(*) AS n, CAST(sum(token_id) AS BIGINT) AS checksum FROM tok WHERE pos < 50")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import bpe
 from millrace.functions import text as tx
-from millrace.operators import quality
+from millrace.operators import formats, quality
+from millrace.sources import parsers
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -160,6 +162,17 @@ def f14_source_cleaners(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d, out.alias("out"))
 
 
+@query(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '={2,}[^=]+={2,}', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\[\d+\]', '', 'g'), '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS page,
+CASE WHEN length(b) > 50000 THEN left(b, 50000) || '...' ELSE b END AS book FROM (SELECT doc_id, text,
+  trim(regexp_replace(regexp_replace('x *** START OF THE PROJECT GUTENBERG EBOOK A' || chr(10) || text || chr(10) || '*** END OF THE PROJECT GUTENBERG EBOOK A', '(?s)^.*?\*\*\* ?START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK[^\n]*\n', ''), '(?s)\*\*\* ?END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*$', '')) AS b FROM documents)"""
+)
+def f14_pages_and_books(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned encyclopedia pages, and books inside the licence that stands around them."""
+    framed = F.concat(F.lit("x *** START OF THE PROJECT GUTENBERG EBOOK A\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK A"))
+    return _documents(spark, d, parsers.wiki_text(F.col("text")).alias("page"), parsers.book_text(framed).alias("book"))
+
+
 @query(
     rf"""SELECT doc_id, len(regexp_extract_all(lower(text), '{W}')) AS words, len(list_distinct(regexp_extract_all(lower(text), '{W}'))) AS distinct_words,
 len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '[ \t\r\n]+', '', 'g') <> '')) AS sentences FROM documents WHERE text IS NOT NULL"""
@@ -188,11 +201,32 @@ def f19_fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d, "text").where("text is not null").select("doc_id", chunks)
 
 
-@query("SELECT id, replace(replace('Explique {title} no contexto de {topic}.', '{title}', coalesce(title, topic, '')), '{topic}', coalesce(topic, '')) AS instruction FROM dataset_entries")
-def f20_templates(spark: SparkSession, d: str) -> DataFrame:
-    from millrace.operators import formats
+def _template_sql(topic: str, key: str) -> str:
+    """SQL of the template that formats.pick_template chooses."""
+    quoted = lambda ts: "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in ts) + "]"
+    cases = " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in formats.TOPIC_TEMPLATES.items())
+    choice = f"(CASE {topic} {cases} ELSE {quoted(formats.DEFAULT_TEMPLATES)} END)"
+    return f"list_extract({choice}, ((('0x' || substr(md5('0|' || {key}), 1, 8))::BIGINT % len({choice})) + 1)::INTEGER)"
+
+
+def _instruction_sql(topic: str) -> str:
+    return f"replace(replace({_template_sql(topic, 'id')}, '{{title}}', coalesce(title, {topic}, '')), '{{topic}}', coalesce({topic}, ''))"
+
+
+@query(f"SELECT id, {_instruction_sql('topic')} AS instruction FROM dataset_entries")
+def f20_j01_templates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dataset_entries").select("id", formats.fill_template(formats.pick_template(F.col("topic"), F.col("id"))).alias("instruction"))
+
+
+@query()
+def f17_exact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document by a public vocabulary; tests compare with the public library."""
+    return _documents(spark, d, bpe.token_count(F.col("text")).alias("tokens"))
+
 
-    return table(spark, d, "dataset_entries").select("id", formats.fill_template(F.lit("Explique {title} no contexto de {topic}.")).alias("instruction"))
+@query()
+def f18_exact_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d, bpe.truncate(F.col("text"), 100).alias("out"))
 
 
 @query(

@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where that is unset (tests, one machine) make a folder of our own."""
+    """Use the folder named by spark.checkpoint.dir; only where that is unset and all executors are threads of this process
+    (tests, one machine) make a folder of our own. A cluster without a shared folder is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 

@@ -48,6 +48,33 @@ def papers(df: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.withColumn("text", plain).where(F.length("text") >= MIN_CHARS["academic"])
 
 
+def news_articles(df: DataFrame, json: str = "json") -> DataFrame:
+    """Articles of a news service's answer: content, or else the description; those with neither are left out."""
+    schema = "struct<articles:array<struct<source:struct<name:string>,author:string,title:string,description:string,url:string,publishedAt:string,content:string>>>"
+    rows = df.select(F.explode(F.from_json(json, schema)["articles"]).alias("a")).select("a.*")
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    text = F.coalesce(some("content"), some("description"))
+    return rows.withColumn("text", text).where("text is not null").select(
+        F.left(F.md5(F.concat_ws(":", "url", "title")), F.lit(16)).alias("id"), F.col("source.name").alias("publisher"), "title", "url", "author", "text", dates.parse_date(F.col("publishedAt")).alias("published")
+    )
+
+
+def wiki_text(text: Column) -> Column:
+    """Page text without section headers, reference marks and runs of blank lines."""
+    out = F.regexp_replace(text, r"={2,}[^=]+={2,}", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\[\d+\]", "")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
+
+
+def wiki_pages(df: DataFrame, json: str = "json") -> DataFrame:
+    """Pages of an encyclopedia's answer, cleaned, from 200 characters on; one row a page id (the first by title)."""
+    schema = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,extract:string>>>>"
+    rows = df.select(F.explode(F.map_values(F.from_json(json, schema)["query"]["pages"])).alias("p")).select("p.*")
+    cleaned = rows.select("pageid", "title", wiki_text(F.col("extract")).alias("text")).where(F.length("text") >= MIN_CHARS["encyclopedia"])
+    first = cleaned.groupBy("pageid").agg(F.min(F.struct("title", "text")).alias("p"))
+    return first.select(F.left(F.md5(F.concat_ws(":", F.lit("wikipedia"), F.col("pageid").cast("string"), "p.title")), F.lit(16)).alias("id"), "pageid", "p.title", "p.text")
+
+
 def first_authors(authors: Column) -> Column:
     return F.array_join(F.slice(authors, 1, 3), ", ")
 

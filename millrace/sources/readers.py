@@ -56,16 +56,32 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("name"), F.round(F.col("length") / (1 << 20), 3).alias("size_mb"), F.col("modificationTime").alias("modified"), F.regexp_extract(name, r"(\d{5,})", 1).try_cast("long").alias("step"))
 
 
-def token_store(spark: SparkSession, path: str, dtype: str = "uint16") -> DataFrame:
-    """(source, pos, token_id) of flat binary token files."""
+RANGE_BYTES = 1 << 26
+"""Bytes of a token file that one task reads at a time."""
+
+
+def token_store(spark: SparkSession, path: str, dtype: str = "uint16", most_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(source, pos, token_id) of flat binary token files, in byte ranges, so a file of any size is read by many tasks and
+    never held whole. Only names and lengths are listed first; the folder must be one that all executors see."""
     width = np.dtype(dtype).itemsize
+    step = max(1, most_bytes // width) * width
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") >= width)
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("begin")
+    ranges = files.select("path", "length", begins)
+    tasks = max(1, ranges.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import unquote, urlparse
+
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                ids = np.frombuffer(content[: len(content) // width * width], dtype)
+            for name, length, begin in zip(batch["path"], batch["length"], batch["begin"]):
+                end = min(begin + step, length // width * width)
+                with open(unquote(urlparse(name).path), "rb") as file:
+                    file.seek(begin)
+                    ids = np.frombuffer(file.read(max(0, end - begin)), dtype)
                 for start in range(0, len(ids), 1_000_000):
                     part = ids[start : start + 1_000_000]
-                    yield pd.DataFrame({"source": name.rsplit("/", 1)[-1], "pos": np.arange(start, start + len(part)), "token_id": part.astype(np.int64)})
+                    first = begin // width + start
+                    yield pd.DataFrame({"source": name.rsplit("/", 1)[-1], "pos": np.arange(first, first + len(part)), "token_id": part.astype(np.int64)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, pos long, token_id long")
+    return ranges.repartition(min(tasks, 10_000), "path", "begin").mapInPandas(run, "source string, pos long, token_id long")

@@ -40,20 +40,58 @@ def write_shards(df: DataFrame, path: str, records: int = SHARD_RECORDS) -> Data
     return back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("records"))
 
 
-def write_tokens(df: DataFrame, path: str, ids: str = "ids", order: str = "doc_id", end: int | None = 50256) -> DataFrame:
-    """Token ids as flat uint32 rows in order, one binary part a partition range, with (part, tokens); parts are rewritten
-    whole when a task runs again, so a crash leaves no half part."""
+CHUNK_TOKENS = 4_000_000
+"""Tokens of one stored cell (16 MB), whatever the size of a partition."""
+
+
+def write_tokens(df: DataFrame, path: str, ids: str = "ids", order: str = "doc_id", end: int | None = 50256, chunk: int = CHUNK_TOKENS) -> DataFrame:
+    """Token ids as flat uint32 rows in order: chunks of at most `chunk` tokens, numbered inside a range of the order, with
+    (part, chunk, tokens). A task's chunks are written by the commit of that task, so a crash leaves no half one."""
     tail = F.array(F.lit(end)) if end is not None else F.array().cast("array<int>")
     ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(F.concat(ids, tail).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        lists = [np.asarray(t, np.uint32) for batch in batches for t in batch["t"]]
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-        yield pd.DataFrame({"part": [part], "tokens": [len(flat)], "content": [flat.tobytes()]})
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for t in batch["t"]:
+                held.append(np.asarray(t, np.uint32))
+                size += len(held[-1])
+                while size >= chunk:
+                    flat = np.concatenate(held)
+                    yield pd.DataFrame({"part": [part], "chunk": [number], "tokens": [chunk], "content": [flat[:chunk].tobytes()]})
+                    held, size, number = [flat[chunk:]], len(flat) - chunk, number + 1
+        if size:
+            yield pd.DataFrame({"part": [part], "chunk": [number], "tokens": [size], "content": [np.concatenate(held).tobytes()]})
+
+    ranged.mapInPandas(run, "part int, chunk int, tokens long, content binary").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).select("part", "chunk", "tokens")
+
+
+def write_with_report(df: DataFrame, path: str, report: str, most: int | None = None, **counts) -> dict[str, int]:
+    """JSON lines and, beside them, a one-line report of the rows written and of named conditions, observed while writing."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    kept = df if most is None else df.limit(most)
+    kept.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()]).write.mode("overwrite").json(path)
+    found = {k: int(v or 0) for k, v in seen.get.items()}
+    write_report(df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found)), report)
+    return found
+
+
+STATE = "source string, topic string, last_page int, last_offset long, total_collected long, updated timestamp, metadata map<string,string>"
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Adds rows of run state by source and topic; the latest row of a key holds, so a half-written run changes nothing."""
+    state.write.mode("append").parquet(path)
+
 
-    ranged.mapInPandas(run, "part int, tokens long, content binary").write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).select("part", "tokens")
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of each source and topic."""
+    rows = spark.read.schema(STATE).parquet(path)
+    rest = [c for c in rows.columns if c not in ("source", "topic")]
+    return rows.groupBy("source", "topic").agg(F.max_by(F.struct(*rest), "updated").alias("s")).select("source", "topic", "s.*")
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -66,6 +104,7 @@ def append_audit(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
+    """A report of few rows as one file."""
     df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.session import materialize
+
 WINDOW, CLIP_SHARE, CLIP_RUN = 50, 0.95, 5
 STEP_STATE = "losses array<double>, clipped int, steps long, top_lr double"
 STEP_OUT = "run_id string, step long, mean_loss double, loss_trend double, clipped_run int, clipping_dominant boolean, max_lr double"
@@ -92,6 +94,26 @@ def on_eval_batch(evals: DataFrame) -> DataFrame:
     return evals.groupBy("run_id").applyInPandas(lambda key, rows: pd.DataFrame(eval_rows(key[0], rows, None)[0], columns=_names(EVAL_OUT)), EVAL_OUT)
 
 
+def resume_evals(evals: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, state) of the evaluation hook over a batch that goes on from a saved state (run_id and the columns of
+    EVAL_STATE); runs without a saved state start anew, runs without rows keep theirs. Saving the second frame and giving
+    it to the next call is snapshot and restore: any cut of a series gives the rows of the whole."""
+    kept = [c for c in _names(EVAL_STATE)]
+    out = "run_id string, " + ", ".join(f"r_{c}" for c in EVAL_OUT.split(", ")[1:]) + ", " + EVAL_STATE
+
+    def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        before = tuple(old[kept].iloc[0]) if len(old) else None
+        rows, after = eval_rows(key[0], new, before) if len(new) else ([], before)
+        frame = pd.DataFrame(rows, columns=["run_id", *[f"r_{c}" for c in _names(EVAL_OUT)[1:]]])
+        last = pd.DataFrame([(key[0], *after)], columns=["run_id", *kept]) if after is not None else pd.DataFrame(columns=["run_id", *kept])
+        return pd.concat([frame, last], ignore_index=True).reindex(columns=_names(out)).astype(object).where(lambda x: x.notna(), None)
+
+    both = state.select("run_id", *kept).groupBy("run_id").cogroup(evals.groupBy("run_id")).applyInPandas(run, out)
+    both = materialize(both)
+    rows = both.where("r_step is not null").select("run_id", *[F.col(f"r_{c}").alias(c) for c in _names(EVAL_OUT)[1:]])
+    return rows, both.where("r_step is null").select("run_id", *kept)
+
+
 def first_seen(stream: DataFrame, key: str, time: str, within: str = "1 day") -> DataFrame:
     """Each key once within the watermark: the incremental index of seen hashes, with bounded state."""
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])

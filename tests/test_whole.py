@@ -17,7 +17,7 @@ def run(spark, folder, name, table, rows, schema):
 
 def test_nfkc_of_all_documents(spark, tmp_path):
     texts = ["plain", "S\u00e3o Paulo", "Sa\u0303o Paulo", "\ufb01m \u2460", "\uff21\uff22\uff11", "a\u00a0b", "", None]
-    got = run(spark, tmp_path, "f02_nfkc_documents", "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = run(spark, tmp_path, "f02_nfkc", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.out for r in got} == {i: unicodedata.normalize("NFKC", t) if t else t for i, t in enumerate(texts)}
 
 
