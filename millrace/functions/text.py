@@ -37,9 +37,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?]+", -1), lambda s: F.regexp_replace(s, r"[ \t\r\n]+", "") != "")
 
 
+def single_spaces(text: Column) -> Column:
+    """Runs of white space as one space; a lone space, which is most of it, is no match and costs nothing."""
+    return F.regexp_replace(text, r"[\t\r\n\f\x0B][ \t\r\n\f\x0B]*| [ \t\r\n\f\x0B]+", " ")
+
+
 def collapse(text: Column) -> Column:
     """Lower case, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n\f\x0B]+", " "))
+    return F.trim(single_spaces(F.lower(text)))
 
 
 def whitespace_words(text: Column) -> Column:

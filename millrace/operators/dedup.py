@@ -29,23 +29,34 @@ def spaceless_key(text: Column) -> Column:
     return F.md5(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")))
 
 
+REPEATED_KEYS = 200_000
+"""Up to so many repeated keys are broadcast (at most some 20 MB); beyond, they are joined."""
+
+
 def mark_first(df: DataFrame, key: Column, order: str, out: str = "is_duplicate") -> DataFrame:
-    """out is true for rows after the first of their key. Only (key, first order) is aggregated before the join, so a hot
-    key costs one row a partition, not a sort of all its rows."""
+    """out is true for rows after the first of their key; rows with a null key are never duplicates.
+
+    Only (key, order) is aggregated, in partial sums, and only keys that occur more than once are joined to the rows: they
+    are few, so as a rule no row is shuffled with its text. A hot key is one row of them, whatever its number of rows.
+    """
     keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
-    return keyed.join(first, "__key", "left").withColumn(out, F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__key", "__first")
+    counted = df.select(key.alias("__key"), order).groupBy("__key").agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
+    repeated = counted.where("__n > 1").select("__key", "__first")
+    known = repeated.limit(REPEATED_KEYS + 1).collect()
+    if len(known) <= REPEATED_KEYS:
+        repeated = F.broadcast(df.sparkSession.createDataFrame(known, repeated.schema))
+    return keyed.join(repeated, "__key", "left").withColumn(out, F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__key", "__first")
 
 
 def mark_exact(df: DataFrame, text: str, order: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """mark_first by the text without regard to case and white space; shorter texts have no key."""
     long_enough = F.length(F.coalesce(F.col(text), F.lit(""))) >= min_chars
-    marked = mark_first(df, exact_key(F.col(text)), order)
-    return marked.withColumn("is_duplicate", F.col("is_duplicate") & long_enough)
+    return mark_first(df, F.when(long_enough, exact_key(F.col(text))), order)
 
 
 def char_shingles(text: Column, size: int = 5) -> Column:
     """Distinct character shingles of the lower-case text with white space collapsed; none for shorter texts."""
-    t = F.regexp_replace(F.lower(text), r"[ \t\r\n\f\x0B]+", " ")
+    t = tx.single_spaces(F.lower(text))
     spots = F.when(F.length(t) >= size, F.sequence(F.lit(1), F.length(t) - size + 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(spots, lambda i: F.substring(t, i, F.lit(size))))
 
@@ -113,7 +124,7 @@ def _close(a: pd.DataFrame, b: pd.DataFrame, bits: int, threshold: float, same:
 def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """id, t (white space collapsed, lower case) and class_id, the smallest id with the same t, of all texts that are
     long enough to be duplicates."""
-    base = df.where(F.length(F.coalesce(F.col(text), F.lit(""))) >= MIN_CHARS).select(F.col(key).alias("id"), F.regexp_replace(F.lower(text), r"[ \t\r\n\f\x0B]+", " ").alias("t"))
+    base = df.where(F.length(F.coalesce(F.col(text), F.lit(""))) >= MIN_CHARS).select(F.col(key).alias("id"), tx.single_spaces(F.lower(text)).alias("t"))
     keyed = materialize(base.withColumn("h", F.md5("t")))
     return keyed.join(keyed.groupBy("h").agg(F.min("id").alias("class_id")), "h").drop("h")
 
@@ -215,6 +226,27 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
+def first_wins(links: DataFrame) -> DataFrame:
+    """(id, like) of the ids that links (id_a < id_b) make duplicates when rows come in the order of ids and each is one if
+    it is linked to an earlier row that is none; like is the smallest such row.
+
+    In rounds over the links, without a task that holds a component: an id without undecided earlier partners stays, so
+    its later partners go; decided ids leave the links. For ids in no special order few rounds do.
+    """
+    edges, gone = materialize(links.select("id_a", "id_b")), None
+    while not edges.isEmpty():
+        stays = edges.select("id_a").distinct().join(edges.select(F.col("id_b").alias("id_a")).distinct(), "id_a", "left_anti")
+        goes = materialize(edges.join(stays, "id_a").select(F.col("id_b").alias("id")).distinct())
+        gone = goes if gone is None else gone.unionByName(goes)
+        decided = goes.unionByName(stays.select(F.col("id_a").alias("id")))
+        left = edges.join(decided.select(F.col("id").alias("id_a")), "id_a", "left_anti")
+        edges = materialize(left.join(decided.select(F.col("id").alias("id_b")), "id_b", "left_anti").select("id_a", "id_b"))
+    if gone is None:
+        return links.select(F.col("id_b").alias("id"), F.col("id_a").alias("like")).limit(0)
+    first = links.join(gone.select(F.col("id").alias("id_a")), "id_a", "left_anti").groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("like"))
+    return first.join(gone, "id", "left_semi")
+
+
 def mark_similar(df: DataFrame, key: str, text: str, threshold: float = 0.85, size: int = 5) -> DataFrame:
     """id, class_id, component, is_duplicate and similar_to of rows long enough to be duplicates: in the order of the key,
     a row is a duplicate if an earlier row that is none has the same text or is similar, as when rows come one by one."""
@@ -222,19 +254,6 @@ def mark_similar(df: DataFrame, key: str, text: str, threshold: float = 0.85, si
     bare = classes.where("id = class_id").withColumn("h", F.md5(F.trim("t"))).select("id", "h")
     same = bare.alias("a").join(bare.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     links = materialize(similar_classes(classes, threshold, size).select("id_a", "id_b").unionByName(same).distinct())
-    kind = dict(classes.dtypes)["id"]
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        before = rows.sort_values("id_a").groupby("id_b")["id_a"].apply(list).to_dict()
-        kept, out = set(), []
-        for i in sorted({*rows["id_a"], *rows["id_b"]}):
-            like = next((j for j in before.get(i, ()) if j in kept), None)
-            if like is None:
-                kept.add(i)
-            out.append((i, rows["component"].iloc[0], like))
-        return pd.DataFrame(out, columns=["class_id", "component", "like"], dtype=object)
-
-    grouped = links.join(components(links).withColumnRenamed("id", "id_a"), "id_a").groupBy("component")
-    judged = grouped.applyInPandas(greedy, f"class_id {kind}, component {kind}, like {kind}")
+    judged = components(links).join(first_wins(links), "id", "left").select(F.col("id").alias("class_id"), "component", "like")
     first = F.coalesce("like", F.when(F.col("id") > F.col("class_id"), F.col("class_id")))
     return classes.drop("t").join(judged, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component"), first.isNotNull().alias("is_duplicate"), first.alias("similar_to"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.functions import udfs
 from millrace.operators import dedup, guardrails, quality
-from millrace.session import materialize
+from millrace.session import materialize, spread
 
 
 def process(documents: DataFrame, key: str = "doc_id", text: str = "text", targets: tuple[str, ...] = ("pt", "en", "es"), least_confidence: float = 0.2, min_score: float = 0.6) -> DataFrame:
@@ -18,12 +18,15 @@ def process(documents: DataFrame, key: str = "doc_id", text: str = "text", targe
     first. Duplicates, equal or similar texts, are looked for among documents that passed language and quality only, and
     one that content rejects still makes later copies duplicates. In the clean_text of kept documents personal data is
     masked; pii_removed says where there was any. Of the other documents clean_text stays as it was judged.
+
+    The cleaned text and then the scores are written once to the checkpoint folder: filters on either would otherwise take
+    the whole chain of expressions along and evaluate it again at every mention.
     """
-    cleaned = documents.withColumn("clean_text", tx.clean(F.col(text)))
+    cleaned = materialize(spread(documents).withColumn("clean_text", tx.clean(F.col(text))))
     judged = guardrails.detect_language(cleaned, "clean_text", targets, least_confidence)
     scored = quality.with_quality(judged, "clean_text", min_score=min_score)
     early = F.when(~F.col("is_target"), "language").when(~F.col("passed"), "quality")
-    staged = scored.withColumn("__early", early)
+    staged = materialize(scored.withColumn("__early", early))
     marks = dedup.mark_similar(staged.where("__early is null"), key, "clean_text")
     repeated = marks.where("is_duplicate").select(F.col("id").alias(key), F.lit(True).alias("__repeated")).distinct()
     content = F.size(guardrails.content_reasons(F.col("clean_text"))) > 0

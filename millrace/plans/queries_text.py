@@ -10,7 +10,7 @@ from millrace.functions import text as tx
 from millrace.operators import formats, quality
 from millrace.sources import parsers
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import spread, table
 
 W = r"[\p{L}\p{N}_]+"
 _SCORED = rf"""
@@ -43,7 +43,7 @@ def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return quality.with_quality(_documents(spark, d, "lang", "text"))
+    return quality.with_quality(spread(_documents(spark, d, "lang", "text")))
 
 
 @query(

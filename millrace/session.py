@@ -45,3 +45,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has far fewer partitions than these (a small file is one partition); larger inputs stay as
+    they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -108,3 +108,18 @@ def test_pipeline_has_near_copies_and_personal_data(spark):
     assert "[EMAIL]" in got[3].clean_text and "[TELEFONE]" in got[3].clean_text and "98765" not in got[3].clean_text
     counted = {r.reason: r for r in pipeline.counters(pipeline.process(spark.createDataFrame(rows, "doc_id int, text string"), min_score=0.1)).collect()}
     assert counted["kept"].documents == 2 and counted["kept"].pii_removed == 1 and counted["duplicate"].documents == 3
+
+
+def test_first_wins_equals_one_by_one(spark):
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(100 + i, 101 + i) for i in range(9)})
+    kept, want = set(), {}
+    for i in sorted({x for p in pairs for x in p}):
+        like = min((a for a, b in pairs if b == i and a in kept), default=None)
+        if like is None:
+            kept.add(i)
+        else:
+            want[i] = like
+    df = spark.createDataFrame(pairs, "id_a long, id_b long")
+    assert {r.id: r.like for r in dedup.first_wins(df).collect()} == want
+    assert dedup.first_wins(df.limit(0)).count() == 0
