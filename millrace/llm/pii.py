@@ -240,6 +240,25 @@ def _names(text: str) -> Iterator[tuple]:
         yield "name", start, end, votes, before, after, "reverse" if reverse else f"given{min(more, 3)}"
 
 
+LABELLED = regex.compile(
+    r"(?<![\p{L}\d])(?:(?:[Ss]ra?|[Ss]rta|[Dd]ra?|[Mm]rs?|[Mm]s|[Mm]me|[Mm]lle|NOME|[Nn]ome|NAME|[Nn]ame|[Nn]ombre|[Nn]om)[.:]|[Dd]ona|[Ss]eñora?|[Ss]enhora?)[ ]+(?P<name>\p{Lu}[\p{L}\p{M}'’\-]+(?:[ ]+(?:(?:de|da|do|dos|das|del|la|von|van)[ ]+)?\p{Lu}[\p{L}\p{M}'’\-]+){1,4})"
+)
+
+
+def _labelled_names(text: str, known: set[int]) -> Iterator[tuple]:
+    """Names after a title or a label whose given name the gazetteer does not have: it says nothing about these."""
+    for m in LABELLED.finditer(text):
+        if m.start("name") in known:
+            continue
+        start, end = m.span("name")
+        before, after = _around(text, start, end)
+        inside = [fold(w) for w in WORD.findall(m["name"])]
+        if set(inside) & ORGANISATION or inside[0] in OPENERS:
+            continue
+        votes = "0" + _vote(True) + "0" + _vote(True) + "0" + _vote(any(c in inside for c in ("de", "dos", "da", "das", "do")))
+        yield "name", start, end, votes, before, after, "labelled"
+
+
 def propose(text: str | None) -> list[tuple]:
     """Proposed spans of a text: (type, start, end, votes, features)."""
     if not text:
@@ -252,7 +271,10 @@ def propose(text: str | None) -> list[tuple]:
         found += _emails(text)
     found += _numbers(text)
     found += _addresses(text, low)
-    found += _names(text)
+    names = list(_names(text))
+    found += names
+    if "." in text or ":" in text or "don" in low or "se" in low:
+        found += _labelled_names(text, {n[1] for n in names})
     return [(kind, start, end, votes, _features(kind, votes, before, after, shape)) for kind, start, end, votes, before, after, shape in found]
 
 

@@ -134,6 +134,14 @@ def test_pii_finds_and_masks(spark):
     assert redacted[5] == lines[5][0]
 
 
+def test_pii_adds_labelled_names_beyond_the_gazetteer(spark, data):
+    texts = queries._texts_with_personal_data(spark, data)
+    weights = pii.fit(pii.proposed_spans(texts))
+    rows = [(1, "Falei com a Sra. Zuleide Tamarindo sobre isso."), (2, "Nome: Fundação Tamarindo do Vale"), (3, "Zuleide Tamarindo falou sobre isso.")]
+    redacted = {r.id: r.redacted for r in pii.redact(spark.createDataFrame(rows, "id int, text string"), weights).collect()}
+    assert redacted == {1: "Falei com a Sra. [NAME] sobre isso.", 2: rows[1][1], 3: rows[2][1]}
+
+
 def test_pii_odd_input(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 30000), (3, "x " * 30000)], "id int, text string")
     spans = pii.proposed_spans(df)
