@@ -6,6 +6,7 @@ than a statistic needs give 0.0, as the training loop reports them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,20 @@ def divergence(df: DataFrame, value: str, run: str, order: list[str], slack: flo
 def stagnation(df: DataFrame, value: str, run: str, order: str, delta: float = PLATEAU_DELTA) -> DataFrame:
     """Rows since the best value last improved by more than delta, where only such values become the best.
 
-    The counter depends on its own past, so each run is folded over its ordered values; a run is one row here, its
-    length is bounded by its number of evaluations.
+    The counter depends on its own past, so each run is one group, gone through once in its order; a run's length is
+    bounded by its number of evaluations. A null value is no improvement.
     """
-    listed = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__s"))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("count"), F.array().cast(f"array<struct<{order}:{df.schema[order].dataType.simpleString()},counter:bigint>>").alias("rows"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (run, order)}
 
-    def step(state: Column, item: Column) -> Column:
-        better = item[value] < state["best"] - delta
-        count = F.when(better, F.lit(0).cast("long")).otherwise(state["count"] + 1)
-        row = F.struct(item[order].alias(order), count.alias("counter"))
-        return F.struct(F.when(better, item[value]).otherwise(state["best"]).alias("best"), count.alias("count"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, best, counter, out = rows.sort_values(order, kind="stable"), float("inf"), 0, []
+        for v in rows[value]:
+            better = v is not None and v < best - delta
+            best, counter = (v, 0) if better else (best, counter + 1)
+            out.append(counter)
+        return pd.DataFrame({run: rows[run], order: rows[order], "counter": out})
 
-    return listed.select(run, F.inline(F.aggregate("__s", start, step)["rows"]))
+    return df.select(run, order, value).groupBy(run).applyInPandas(fold, f"{run} {kinds[run]}, {order} {kinds[order]}, counter long")
 
 
 def exponential_average(df: DataFrame, value: str, run: str, order: str, weight: float = 0.1) -> DataFrame:

@@ -15,11 +15,20 @@ GUTENBERG_END = r"(?s)\*\*\* ?END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*$"
 ARTICLE = r"(?s)(Art\.?\s*\d+[ºo°]?.*?)(?=\bArt\.?\s*\d+[ºo°]?|\z)"
 
 
+RSS = "channel struct<item: array<struct<title: string, link: string, pubDate: string, description: string>>>"
+ATOM = "entry array<struct<title: string, link: array<struct<_href: string>>, updated: string, published: string, summary: string, content: string>>"
+
+
 def feed_items(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row an RSS item or Atom entry: title, link, published, text (markup removed), from 100 characters on."""
-    parts = lambda path: F.xpath(xml, F.lit(path))
-    rss = F.arrays_zip(parts("/rss/channel/item/title/text()").alias("title"), parts("/rss/channel/item/link/text()").alias("link"), parts("/rss/channel/item/pubDate/text()").alias("published"), parts("/rss/channel/item/description/text()").alias("text"))
-    rows = df.select(*[c for c in df.columns if c != xml], F.explode(rss).alias("i")).select(*[c for c in df.columns if c != xml], "i.*")
+    """One row an RSS item or Atom entry: title, link, published, text (markup removed), from 100 characters on. Feeds that
+    are null or no XML have no items; an item's missing parts are null."""
+    kept = [c for c in df.columns if c != xml]
+    rss = F.transform(F.from_xml(xml, RSS)["channel"]["item"], lambda i: F.struct(i["title"].alias("title"), i["link"].alias("link"), i["pubDate"].alias("published"), i["description"].alias("text")))
+    atom = F.transform(
+        F.from_xml(xml, ATOM)["entry"],
+        lambda e: F.struct(e["title"].alias("title"), F.get(e["link"], F.lit(0))["_href"].alias("link"), F.coalesce(e["published"], e["updated"]).alias("published"), F.coalesce(e["content"], e["summary"]).alias("text")),
+    )
+    rows = df.select(*kept, F.explode(F.coalesce(rss, atom)).alias("i")).select(*kept, "i.*")
     cleaned = rows.withColumn("text", F.trim(tx.strip_html(F.col("text")))).withColumn("published", dates.parse_date(F.col("published")))
     return cleaned.where(F.length("text") >= MIN_CHARS["news"])
 

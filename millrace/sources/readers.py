@@ -15,9 +15,14 @@ RAW_DOCUMENT = T.StructType(
     + [T.StructField("published_date", T.TimestampType()), T.StructField("collected_date", T.TimestampType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
 )
 METRICS = T.StructType([T.StructField(n, T.StringType()) for n in ("step", "loss", "val_loss", "lr", "tokens", "tokens_per_sec", "timestamp")])
+DECISIONS = (
+    "timestamp timestamp, step long, tokens long, regime string, policy string, metrics map<string,double>, action struct<type:string,param:string,before:double,after:double,change_pct:double>, "
+    "justification string, checkpoint_saved boolean, decision_valid boolean, validation_reason string, executed boolean"
+)
+"""Schema of a decision log; entries without a decision have no policy and no action."""
 
 
-def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_DOCUMENT, tolerant: bool = True, recursive: bool = False) -> DataFrame:
+def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str = RAW_DOCUMENT, tolerant: bool = True, recursive: bool = False) -> DataFrame:
     """JSON lines; bad lines are dropped (tolerant) or fail the read; blank lines are skipped. The schema is fixed, so
     nothing is read twice and unused fields are not parsed."""
     reader = spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
@@ -44,16 +49,23 @@ def metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(whole("step"), number("loss"), number("val_loss"), number("lr"), whole("tokens"), number("tokens_per_sec"), F.try_to_timestamp("timestamp").alias("timestamp"))
 
 
+def decision_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Entries of a decision log in JSON lines; broken lines are dropped."""
+    return jsonl(spark, path, DECISIONS)
+
+
 def log_values(spark: SparkSession, path: str, pattern: str = r"GradNorm:\s*([\d.]+)") -> DataFrame:
     lines = spark.read.text(path).where(F.col("value").rlike(pattern))
     return lines.select(F.regexp_extract("value", pattern, 1).try_cast("double").alias("value"))
 
 
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
-    """name, size_mb, modified and the step in the name, without reading the files' content."""
+    """name, size_mb, modified, and the step and the reason in the name, without reading the files' content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), F.round(F.col("length") / (1 << 20), 3).alias("size_mb"), F.col("modificationTime").alias("modified"), F.regexp_extract(name, r"(\d{5,})", 1).try_cast("long").alias("step"))
+    low = F.lower(name)
+    reason = F.when(F.contains(low, F.lit("best")), "best_val_loss").when(F.contains(low, F.lit("interrupt")), "interrupt").when(F.contains(low, F.lit("manager")), "manager_decision").otherwise("scheduled")
+    return files.select(name.alias("name"), reason.alias("reason"), F.round(F.col("length") / (1 << 20), 3).alias("size_mb"), F.col("modificationTime").alias("modified"), F.regexp_extract(name, r"(\d{5,})", 1).try_cast("long").alias("step"))
 
 
 RANGE_BYTES = 1 << 26

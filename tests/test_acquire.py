@@ -243,3 +243,23 @@ def test_round_trip(spark):
     report = tokens.round_trip_report(windows).first()
     assert report.samples == 2 and 0 <= report.mismatch_pct <= 100
     assert tokens.round_trip_report(tokens.round_trip(df.limit(0))).first().samples == 0
+
+
+def test_feeds(spark):
+    body = "<p>" + "word " * 30 + "</p>"
+    text = body.replace("<", "&lt;").replace(">", "&gt;")
+    rss = f"<rss version='2.0'><channel><title>F</title><item><link>L1</link><description>{text}</description></item><item><title>T2</title><link>L2</link><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description><![CDATA[{body}]]></description></item></channel></rss>"
+    atom = f"<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title><entry><title>A</title><link href='U1'/><link href='U2'/><updated>2024-03-05T10:00:00Z</updated><summary>short</summary><content type='html'>{text}</content></entry></feed>"
+    rows = parsers.feed_items(spark.createDataFrame([(1, rss), (2, atom), (3, None), (4, "no xml")], "id int, xml string")).orderBy("id", "link").collect()
+    assert [(r.id, r.title, r.link) for r in rows] == [(1, None, "L1"), (1, "T2", "L2"), (2, "A", "U1")]
+    assert rows[1].published is not None and rows[2].published is not None and all("<" not in r.text for r in rows)
+
+
+def test_decision_log_and_listing(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"step": 3, "policy": "p", "action": {"type": "lr", "before": 1.0, "after": 0.5}}\nbroken\n{"step": 4, "policy": null, "action": null}\n')
+    rows = readers.decision_log(spark, str(tmp_path / "log.jsonl")).orderBy("step").collect()
+    assert [(r.step, r.action and r.action.after) for r in rows] == [(3, 0.5), (4, None)]
+    (tmp_path / "f").mkdir()
+    for name in ("step_00010.pt", "best_00011.pt", "interrupt.pt", "manager_00012.pt"):
+        (tmp_path / "f" / name).write_bytes(b"x")
+    assert {r.name: r.reason for r in readers.file_listing(spark, str(tmp_path / "f")).collect()} == {"step_00010.pt": "scheduled", "best_00011.pt": "best_val_loss", "interrupt.pt": "interrupt", "manager_00012.pt": "manager_decision"}
