@@ -131,7 +131,7 @@ _CLEAN = f"trim(regexp_replace({_PUNCT.format(_WS.format(_NATIVE))}, '^[ \\t\\r\
 
 @query(f"SELECT doc_id, {_CLEAN} AS out FROM documents")
 def f11_clean_native(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d, tx.clean(F.col("text")).alias("out"))
+    return spread(_documents(spark, d, "text")).select("doc_id", tx.clean(F.col("text")).alias("out"))
 
 
 @query(
