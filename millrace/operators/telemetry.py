@@ -22,6 +22,11 @@ def frame(run: str, order: list[str], size: int) -> Window:
     return Window.partitionBy(run).orderBy(*order).rowsBetween(-(size - 1), 0)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles; by zero infinite, or nan for 0 / 0, as in floating point, where Spark's division stops the query."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def slope(value: Column, position: Column, over: Window) -> Column:
     n = F.count(value).over(over)
     return F.when(n >= 3, F.regr_slope(value, position).over(over)).otherwise(F.lit(0.0))

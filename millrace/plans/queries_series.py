@@ -249,8 +249,9 @@ def w06_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id, round(value / lag(value) OVER ({_O}) - 1, 6) AS change FROM events QUALIFY value / lag(value) OVER ({_O}) - 1 > 0.5")
 def w07_spikes(spark: SparkSession, d: str) -> DataFrame:
-    change = F.col("value") / F.lag("value").over(Window.partitionBy(RUN).orderBy(*ORDER)) - 1
-    return _events(spark, d).withColumn("change", change).where("change > 0.5").select("event_id", F.round("change", 6).alias("change"))
+    before = F.lag("value").over(Window.partitionBy(RUN).orderBy(*ORDER))
+    change = telemetry.ratio(F.col("value"), F.col("before")) - 1
+    return _events(spark, d).withColumn("before", before).withColumn("change", change).where("change > 0.5").select("event_id", F.round("change", 6).alias("change"))
 
 
 @query(f"SELECT event_id FROM (SELECT event_id, max(value) OVER f - min(value) OVER f AS r, count(*) OVER f AS n FROM events WINDOW f AS ({_O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10 AND r < 60")

@@ -3,11 +3,14 @@
 import random
 import re
 import unicodedata
+from datetime import datetime
+
+import pytest
 
 from millrace.functions import udfs
 from millrace.operators import dedup, guardrails
 from millrace.plans import pipeline
-from millrace.plans.queries import QUERIES
+from millrace.plans.queries import QUERIES, SQL
 
 
 def run(spark, folder, name, table, rows, schema):
@@ -123,3 +126,15 @@ def test_first_wins_equals_one_by_one(spark):
     df = spark.createDataFrame(pairs, "id_a long, id_b long")
     assert {r.id: r.like for r in dedup.first_wins(df).collect()} == want
     assert dedup.first_wins(df.limit(0)).count() == 0
+
+
+def test_spikes_after_zero(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    values = [1.0, 2.0, 0.0, 3.0, 0.0, 0.0, -1.0, -0.0, 5.0, -0.0, -5.0, None, 4.0, 5.0, float("nan"), 0.0]
+    rows = [(i, datetime(2024, 1, 1, 0, 0, i), 1, "a", v) for i, v in enumerate(values)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    got = run(spark, tmp_path, "w07_spikes", "events", rows, schema)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert sorted((r.event_id, str(r.change)) for r in got) == sorted((i, str(c)) for i, c in con.execute(SQL["w07_spikes"]).fetchall())
+    assert {(r.event_id, str(r.change)) for r in got} >= {(1, "1.0"), (3, "inf"), (5, "nan"), (10, "inf")}
