@@ -2,14 +2,14 @@
 
 Two texts are linked if their common triples are at least `share` of the triples that are in either (Jaccard
 similarity; each text at least `least_words` words long). Ordering all triples by how rare they are, a text of n triples
-that must share T of them shares at least `l` of its first n - T + l (prefix principle); T is least share * n for the
-larger text of a pair and 2 * share / (1 + share) * n for the smaller one. These rare triples are the pivots: a text lies in the
+that must share T of them has the first shared one among its first n - T + 1 (prefix principle); T is least
+share / (1 + share) * (n + s) for sizes n and s. These rare triples are the pivots: a text lies in the
 region of every pivot it holds, not just the nearest, which is what the triangle inequality leaves when almost all
-distances are near 1 (see README). Pivots are dealt by hash to `SHARDS` shards and l is chosen so that a linked pair
-has at least m common pivots in some shard; a region is one shard and one band of sizes (sizes of linked texts differ
-by at most the share, so a text enters its own band and those its larger partners can have). Large regions are split
-again by blocks of the larger texts. Inside a region posting lists give all pairs with m common pivots, which are then
-compared triple by triple. Nothing is capped: every linked pair of different texts is found.
+distances are near 1 (see README). A region is one band of sizes and one shard of the triples (by hash; a band has as many
+shards as its postings need, so no posting is written again for their number); a text enters its own band and, with the fewer pivots it needs there, the next one if its larger partners can be in it. Inside a region posting
+lists give all pairs whose common pivot is early enough in both texts for their sizes; of these only pairs whose
+parity sketches, a lower bound of the distance, allow a link leave the region, and are compared triple by triple.
+Nothing is capped: every linked pair of different texts is found.
 
 The order of rarity comes from a count sketch of fixed size over all rows; any order gives the same result, it only
 decides how much is compared. Texts with equal sets of triples form a class and are compared once; inside it, rows with
@@ -22,6 +22,7 @@ no links; repeated rows of an id count once; whole texts are read; an empty tabl
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,21 @@ from pyspark.sql import functions as F
 from millrace.session import materialize
 
 SKETCH_BITS = 22
-SHARDS = 4
-COMMON = (1, 2, 4, 8)
-SKETCH_WORDS = 16
-"""A class has a parity sketch of so many 64-bit words; it bounds the number of different triples from below."""
-BAND_SHARES = 3
+SHARDS = 2
+"""Least number of shards of a band."""
+SKETCH_WORDS = 4, 64
+"""A text has in each region a parity sketch of so many 64-bit words, by the band's sizes; it bounds the number of
+different triples from below."""
+BAND_SHARES = 1
 """A band of sizes spans a factor of 1 / share ** BAND_SHARES."""
-REGION_POSTINGS = 3_000_000
-"""Regions with more postings are split by blocks of the larger texts."""
+REGION_POSTINGS = 8_000_000
+"""Bands with more postings have more shards."""
+BAND_REGIONS = 1 << 20
 NEEDED_CLASSES = 300_000
 """Up to so many ids of compared texts are broadcast to the readers (at most some 20 MB); beyond, they are joined."""
 EXPAND = 64
 """Exact copies of up to so many ids are listed as all pairs; larger groups stand as pairs with their first member."""
-TOUCHES = 2_000_000
+TOUCHES = 1_000_000
 ROWS = 400
 BITS = 55
 
@@ -110,13 +113,15 @@ def _class_hashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return _mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64) * np.uint64(0x9E37)).view(np.int64)
 
 
-def _parity(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per text SKETCH_WORDS words: a bit is set if an odd number of triples falls on it, so two texts have at least as
-    many different triples as their sketches have different bits."""
-    width = 64 * SKETCH_WORDS
-    cell = (_mix(flat + np.uint64(5)) % np.uint64(width)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * width + cell, minlength=len(counts) * width) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(counts), width), axis=1).view(np.int64)
+def _parity(flat: np.ndarray, counts: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """Sketches of so many words of each text: a bit is set if an odd number of triples falls on it, so two texts have at
+    least as many different triples as their sketches have different bits."""
+    width = 64 * words.astype(np.int64)
+    ends = np.cumsum(width)
+    cell = (_mix(flat + np.uint64(5)) & np.repeat(width - 1, counts).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(ends - width, counts) + cell, minlength=int(width.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[e - w : e] for e, w in zip((ends // 8).tolist(), (width // 8).tolist())]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -132,12 +137,19 @@ def _content(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), joined.alias("content"), F.xxhash64(joined).alias("copy"))
 
 
+def _pack_cells(used: np.ndarray, counts: np.ndarray) -> bytes:
+    """Used cells in order and their counts: steps and counts by byte planes, most of them zero."""
+    words = np.concatenate([np.diff(used, prepend=np.uint32(0)), counts]).astype("<u4")
+    return zlib.compress(words.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
 def _add_cells(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Used cells and their counts from packed (cell, count) pairs."""
+    """Used cells and their counts, summed over the packed parts."""
     cells = np.zeros(1 << SKETCH_BITS, np.uint32)
     for part in parts:
-        pairs = np.frombuffer(part, np.uint32).reshape(2, -1)
-        cells[pairs[0]] += pairs[1]
+        planes = np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1)
+        steps, counts = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+        cells[np.cumsum(steps, dtype=np.uint32)] += counts
     used = np.flatnonzero(cells).astype(np.uint32)
     return used, cells[used]
 
@@ -150,7 +162,7 @@ def _rarity(cells: DataFrame) -> np.ndarray:
     """
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cells": [np.concatenate(_add_cells(group["cells"].tolist())).tobytes()]})
+        return pd.DataFrame({"cells": [_pack_cells(*_add_cells(group["cells"].tolist()))]})
 
     rows = cells
     while (n := rows.count()) > 1:
@@ -161,16 +173,6 @@ def _rarity(cells: DataFrame) -> np.ndarray:
     return rarity
 
 
-def _tiers(share: float, shards: int, common: tuple[int, ...]) -> list[tuple[int, int, int]]:
-    """(m, l, least size of the larger text): l common pivots are sure, so m in some shard."""
-    found = []
-    for m in common:
-        sure = shards * (m - 1) + 1
-        size = next(n for n in range(1, 10_000) if np.ceil(share * n - 1e-9) >= sure)
-        found.append((m, sure, size))
-    return found
-
-
 def least_common(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     """Common triples of two sets of these sizes at which their Jaccard similarity reaches the share."""
     return np.ceil(share / (1 + share) * (a + b) - 1e-9)
@@ -180,10 +182,17 @@ def _band(size: np.ndarray, share: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / (-BAND_SHARES * np.log(share)) + 1e-9).astype(np.int64)
 
 
-def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: float, shards: int, tiers: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
-    """For every text and each band its larger partner can be in: region, triple, row, size.
+def _band_words(band: np.ndarray, share: float) -> np.ndarray:
+    """Words of the sketches in a band: about as many bits as its largest texts have triples, a power of two."""
+    largest = np.power(share, -BAND_SHARES * (np.minimum(band, 40) + 1.0))
+    return np.clip(np.exp2(np.ceil(np.log2(1.2 * largest / 64))), *SKETCH_WORDS).astype(np.int64)
+
 
-    In its own band a text is a larger one too and its size is positive; elsewhere it is only the smaller one: -size.
+def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: float, shards: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For every text and each band its larger partner can be in: region, triple, row, place and signed size of each row.
+
+    In its own band a text is a larger one too and its size is positive; in the next it is only the smaller one: -size.
+    The place in the order of rarity is in 256ths of the size, rounded down.
     """
     row = np.repeat(np.arange(len(counts)), counts)
     rare = rarity[(flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.int64)]
@@ -191,100 +200,104 @@ def _postings(flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray, share: f
     flat, rare, row = flat[order], rare[order], row[order]
     begin = np.cumsum(counts) - counts
     place = np.arange(len(flat)) - begin[row]
-    shard = (_mix(flat + np.uint64(99)) % np.uint64(shards)).astype(np.int64)
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    mixed = _mix(flat + np.uint64(99))
     largest = np.floor(counts / share + 1e-9).astype(np.int64)
-    for i, (m, sure, least) in enumerate(tiers):
-        top = tiers[i + 1][2] - 1 if i + 1 < len(tiers) else 1 << 40
-        low = np.maximum(counts, least)
-        own, high = _band(counts, share), np.minimum(largest, top)
-        for step in (0, 1):
-            band = own + step
-            larger = (counts >= least) & (counts <= top) if step == 0 else np.zeros(len(counts), bool)
-            smaller = (counts > 0) & (low <= high) & (_band(low, share) <= band) & (band <= _band(high, share))
-            need = np.where(larger, np.ceil(share * counts - 1e-9), least_common(counts, low, share)).astype(np.int64)
-            reach = np.minimum(counts, counts - need + sure)
-            take = (larger | smaller)[row] & (place < reach[row]) & (rare > 0)
-            out[0].append((i * 1000 + band[row[take]]) * shards + shard[take])
-            out[1].append(flat[take])
-            out[2].append(row[take])
-            out[3].append(np.where(larger, counts, -counts)[row[take]])
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-
-
-def _pairs_in_region(triple: np.ndarray, klass: np.ndarray, size: np.ndarray, asks: np.ndarray, m: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (larger, smaller) of classes with at least m common pivots and sizes within the share."""
-    classes, who = np.unique(klass, return_inverse=True)
-    big = size > 0
-    n = np.abs(size).astype(np.int64)
-    number = np.unique(triple, return_inverse=True)[1].astype(np.int64)
-    index = np.arange(len(size))
-    key = (number[index] << 32) | n[index]
-    order = np.lexsort((who[index], key))
-    index, key = index[order], key[order]
-    if len(index):
-        once = np.ones(len(index), bool)
-        once[1:] = (key[1:] != key[:-1]) | (who[index][1:] != who[index][:-1])
-        index, key = index[once], key[once]
-    ask = np.flatnonzero(big & asks)
-    ask = ask[np.lexsort((number[ask], who[ask]))]
-    if len(ask):
-        once = np.ones(len(ask), bool)
-        once[1:] = (who[ask][1:] != who[ask][:-1]) | (number[ask][1:] != number[ask][:-1])
-        ask = ask[once]
-    low = np.searchsorted(key, (number[ask] << 32) | np.ceil(share * n[ask] - 1e-9).astype(np.int64), side="left")
-    high = np.searchsorted(key, (number[ask] << 32) | n[ask], side="right")
-    touched = high - low
-    total = np.cumsum(touched)
-    at = 0
-    width = max(1, int(len(classes) - 1).bit_length())
-    partner_of, asker = who[index].astype(np.uint32), who[ask]
-    while at < len(ask):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + TOUCHES, side="right"))
-        end = max(end, at + 1)
-        end = int(np.searchsorted(asker, asker[end - 1], side="right"))
-        count = touched[at:end]
-        mine, local = np.unique(asker[at:end], return_inverse=True)
-        narrow = np.uint32 if width + int(len(mine) - 1).bit_length() <= 32 else np.uint64
-        flat = np.arange(int(count.sum()))
-        flat += np.repeat(low[at:end] - (np.cumsum(count) - count), count)
-        both = np.repeat(local.astype(narrow) << narrow(width), count)
-        both |= partner_of[flat]
-        both.sort()
-        if m > 1:
-            both = both[m - 1 :][both[m - 1 :] == both[: len(both) - m + 1]] if len(both) >= m else both[:0]
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        a, b = mine[both >> narrow(width)], both & narrow((1 << width) - 1)
-        if (a != b).any():
-            yield classes[a[a != b]], classes[b[a != b]]
-        at = end
-
-
-def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_words: int = 20, shards: int = SHARDS, common: tuple[int, ...] = COMMON) -> tuple[DataFrame, DataFrame]:
+    own, out = _band(counts, share), []
+    for step in (0, 1):
+        band = own + step
+        if step == 0:
+            active, need = counts > 0, np.ceil(share * counts - 1e-9)
+        else:
+            low = np.maximum(counts, np.floor(np.power(share, -BAND_SHARES * band.astype(float)) - 1e-6).astype(np.int64))
+            active, need = (counts > 0) & (low <= largest) & (_band(largest, share) >= band), least_common(counts, low, share)
+        reach = np.where(active, counts - need + 1, 0)
+        take = (place < reach[row]) & (rare > 0)
+        at = row[take]
+        shard = (mixed[take] % shards[np.minimum(band, len(shards) - 1)][at].astype(np.uint64)).astype(np.int64)
+        out.append((band[at] * BAND_REGIONS + shard, flat[take], at, (place[take] * 256 // counts[at]).astype(np.uint8), counts if step == 0 else -counts))
+    return out
+
+
+def _pairs_in_region(pivot: np.ndarray, held: np.ndarray, size: np.ndarray, asks: np.ndarray, sketch: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (larger, smaller) of rows that have a common pivot early enough in both and sketches that allow a link.
+
+    Rows are in the order of their sizes; pivot has `held` postings of each row, 24 bits of the triple and 8 of the place.
+    Only rows that ask are larger ones. A pair may come again.
+    """
+    part = share / (1 + share)
+    bits = max(1, int(len(size) - 1).bit_length())
+    key = (pivot >> np.uint32(8)).astype(np.uint64) << np.uint64(bits + 8)
+    key |= np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(8), held)
+    key |= pivot & np.uint32(255)
+    key.sort()
+    mask = np.uint64((1 << bits) - 1)
+
+    def rows(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(8)) & mask).astype(np.int64)
+
+    most = np.empty(len(key), np.int32)
+    """Largest partner's size for which the place of the common pivot is early enough."""
+    for at in range(0, len(key), TOUCHES):
+        keys = key[at : at + TOUCHES]
+        n = size[rows(keys)]
+        most[at : at + TOUCHES] = np.minimum((n * (1 - part) - (keys & np.uint64(255)).astype(np.int64) * n / 256 + 1e-6) / part, 1 << 30)
+    least_row = np.searchsorted(size, np.ceil(share * size - 1e-9), side="left").astype(np.uint64)
+    for at in range(0, len(key), TOUCHES):
+        keys = key[at : at + TOUCHES]
+        who = rows(keys)
+        index = np.flatnonzero(asks[who])
+        keys, who = keys[index], who[index]
+        top = np.minimum(np.searchsorted(size, most[at + index], side="right"), who).astype(np.uint64)
+        list_of = keys >> np.uint64(bits + 8) << np.uint64(bits + 8)
+        low = np.searchsorted(key, list_of | (least_row[who] << np.uint64(8)), side="left")
+        high = np.searchsorted(key, list_of | (top << np.uint64(8)), side="left")
+        some = np.flatnonzero(high > low)
+        who, low, touched = who[some], low[some], (high - low)[some]
+        total, begin = np.cumsum(touched), 0
+        while begin < len(who):
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + TOUCHES, side="right"))
+            end = max(end, begin + 1)
+            count = touched[begin:end]
+            partner = np.arange(int(count.sum()))
+            partner += np.repeat(low[begin:end] - (np.cumsum(count) - count), count)
+            early = most[partner] >= np.repeat(size[who[begin:end]], count)
+            a, b = np.repeat(who[begin:end], count)[early], rows(key[partner[early]])
+            differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+            both = size[a] + size[b]
+            near = differ <= both - 2 * np.ceil(part * both - 1e-9)
+            if near.any():
+                yield a[near], b[near]
+            begin = end
+
+
+def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_words: int = 20, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(links, members): links of classes (class_a < class_b, common, size_a, size_b), and class and copy group of each id."""
     spark = df.sparkSession
     content = _content(df, key)
-    tiers = _tiers(share, shards, common)
 
     def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, none = ["id", "copy", "class", "size", "sketch", "cells"], pa.array([None], pa.list_(pa.int64()))
+        names = ["id", "copy", "class", "size", "cells"]
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch, texts in _slices(batches):
             flat, counts = triples(texts, least_words)
             cell, n = np.unique((flat >> np.uint64(BITS - SKETCH_BITS)).astype(np.uint32), return_counts=True)
             cells[cell] += n.astype(np.uint32)
             take = counts > 0
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(_parity(flat, counts)[take].ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
             kept, copy = (batch.column(i).filter(pa.array(take)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([kept, copy, pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), sketch, pa.nulls(len(kept), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([kept, copy, pa.array(_class_hashes(flat, counts)[take]), pa.array(counts[take]), pa.nulls(len(kept), pa.binary())], names=names)
         used = np.flatnonzero(cells).astype(np.uint32)
         if len(used):
-            packed = pa.array([np.concatenate([used, cells[used]]).tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *[pa.array([0], pa.int64())] * 3, none, packed], names=names)
+            packed = pa.array([_pack_cells(used, cells[used])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *[pa.array([0], pa.int64())] * 3, packed], names=names)
 
-    read = materialize(content.mapInArrow(class_rows, "id string, copy long, class long, size long, sketch array<long>, cells binary"))
+    read = materialize(content.mapInArrow(class_rows, "id string, copy long, class long, size long, cells binary"))
     rarity = spark.sparkContext.broadcast(_rarity(read.where("cells is not null").select("cells")))
-    members = materialize(read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "copy", "size", "sketch")).alias("m")).select("id", "m.*"))
+    members = materialize(read.where("cells is null").groupBy("id").agg(F.min(F.struct("class", "copy", "size")).alias("m")).select("id", "m.*"))
+
+    band = F.floor(F.log("size") / (-BAND_SHARES * np.log(share)) + 1e-9).cast("int")
+    loads = dict(members.select("class", "size").distinct().groupBy(band.alias("band")).agg(F.sum((1 - share) * F.col("size") + 1).alias("n")).collect())
+    needed = [int((loads.get(b, 0) + 0.4 * loads.get(b - 1, 0)) // REGION_POSTINGS) + 1 for b in range(max(loads, default=0) + 2)]
+    band_shards = np.clip(needed, shards, BAND_REGIONS)
 
     def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -294,47 +307,41 @@ def similar_pairs(df: DataFrame, key: str = "id", share: float = 0.6, least_word
             fresh = np.array([c not in seen and not seen.add(c) for c in klass.tolist()], bool) & (counts > 0)
             if len(seen) > 1_000_000:
                 seen.clear()
-            keep = np.repeat(fresh, counts)
-            region, triple, row, size = _postings(flat[keep], np.where(fresh, counts, 0), rarity.value, share, shards, tiers)
-            if not len(region):
-                continue
-            order = np.argsort(region * ROWS + row)
-            region, triple, row, size = region[order], triple[order], row[order], size[order]
-            begin = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (row[1:] != row[:-1])]))
-            ends = np.concatenate([begin, [len(region)]]).astype(np.int32) * 4
-            values = (triple & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-            packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([pa.array(region[begin].astype(np.int32)), pa.array(klass[row[begin]]), pa.array(size[begin].astype(np.int32)), packed], names=["region", "class", "size", "triples"])
-
-    postings = content.mapInArrow(posting_rows, "region int, class long, size int, triples binary")
-    band = F.floor(F.log("size") / (-BAND_SHARES * np.log(share)) + 1e-9).cast("int")
-    loads = dict(members.select("class", "size").distinct().groupBy(band.alias("band")).agg(F.sum((1 - share) * F.col("size") + tiers[-1][1]).alias("n")).collect())
-    blocks = {b: int((loads.get(b, 0) + loads.get(b - 1, 0)) / shards // REGION_POSTINGS) + 1 for b in range(max(loads, default=0) + 2)}
-    blocks = {b: n for b, n in blocks.items() if n > 1}
-    split = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.expr(f"(region div {shards}) % 1000").cast("int")], F.lit(1)) if blocks else F.lit(1)
-    turn = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    blocked = postings.withColumn("blocks", split).withColumn("turn", turn).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if blocks else F.lit(0))
+            flat, counts = flat[np.repeat(fresh, counts)], np.where(fresh, counts, 0)
+            for region, triple, row, place, size in _postings(flat, counts, rarity.value, share, band_shards):
+                if not len(region):
+                    continue
+                words = np.ones(len(counts), np.int64)
+                words[row] = _band_words(region // BAND_REGIONS, share)
+                sketch = _parity(flat, counts, words)
+                order = np.argsort(region * ROWS + row)
+                region, triple, row, place = region[order], triple[order], row[order], place[order]
+                begin = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (row[1:] != row[:-1])]))
+                ends = np.concatenate([begin, [len(region)]]).astype(np.int32)
+                values = ((triple.astype(np.uint32) << np.uint32(8)) | place).astype("<u4").tobytes()
+                packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((ends * 4).tobytes()), pa.py_buffer(values)])
+                row = row[begin]
+                columns = [pa.array(region[begin].astype(np.int32)), pa.array(klass[row]), pa.array(size[row].astype(np.int32)), pa.array([sketch[r] for r in row.tolist()], pa.binary()), packed]
+                yield pa.RecordBatch.from_arrays(columns, names=["region", "class", "size", "sketch", "pivots"])
+
+    postings = content.mapInArrow(posting_rows, "region int, class long, size int, sketch binary, pivots binary")
 
     def join_region(table: pa.Table) -> pa.Table:
-        region = table.column("region")[0].as_py()
-        m = tiers[region // shards // 1000][0]
-        parts = table.column("triples").to_pylist()
-        held = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        triple = np.frombuffer(b"".join(parts), np.uint32)
-        asks = table.column("turn").to_numpy() == table.column("block")[0].as_py()
-        columns = [np.repeat(c, held) for c in (table.column("class").to_numpy(), table.column("size").to_numpy(), asks)]
-        found = list(_pairs_in_region(triple, *columns, m, share))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        classes, first = np.unique(table.column("class").to_numpy(), return_index=True)
+        size = table.column("size").to_numpy()[first].astype(np.int64)
+        order = np.argsort(np.abs(size), kind="stable")
+        classes, first, size = classes[order], first[order], size[order]
+        pivots, sketches = (table.column(c).take(pa.array(first)).to_pylist() for c in ("pivots", "sketch"))
+        held = np.fromiter(map(len, pivots), np.int64, len(pivots)) // 4
+        pivot, sketch = np.frombuffer(b"".join(pivots), "<u4"), np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+        del table, pivots, sketches
+        found = [np.unique((a << 32) | b) for a, b in _pairs_in_region(pivot, held, np.abs(size), size > 0, sketch, share)]
+        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        a, b = classes[both >> 32], classes[both & 0xFFFFFFFF]
         return pa.table({"class_a": np.minimum(a, b), "class_b": np.maximum(a, b)})
 
-    found = blocked.drop("blocks").groupBy("region", "block").applyInArrow(join_region, "class_a long, class_b long")
-    known = members.groupBy("class").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    of = lambda side: known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "size", "sketch")])
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = F.col("size_a") + F.col("size_b")
-    allowed = both - 2 * F.ceil(share / (1 + share) * both - 1e-9)
-    candidates = materialize(found.distinct().join(of("a"), "class_a").join(of("b"), "class_b").where(differ <= allowed).select("class_a", "class_b"))
+    found = postings.groupBy("region").applyInArrow(join_region, "class_a long, class_b long")
+    candidates = materialize(found.distinct())
     sets = _needed_sets(content, members, candidates, least_words)
     left = sets.select(F.col("class").alias("class_a"), F.col("triples").alias("set_a"))
     right = sets.select(F.col("class").alias("class_b"), F.col("triples").alias("set_b"))
@@ -375,15 +382,17 @@ def _needed_sets(content: DataFrame, members: DataFrame, candidates: DataFrame,
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of ids: all pairs of different texts, and all pairs of copies; a group of more than EXPAND exact copies is
-    represented by its first member, the others of it are paired with that one only."""
+    represented by its first member, the others of it are paired with that one only. Members without a link or copy are
+    left out before the joins."""
+    both = links.select(F.col("class_a").alias("class")).unionAll(links.select("class_b"))
+    shared = members.groupBy("class").agg(F.count("*").alias("ids")).where("ids > 1").select("class")
+    members = materialize(members.join(both.unionAll(shared).distinct(), "class", "left_semi"))
     group = members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     grouped = members.join(group, ["class", "copy"])
     listed = grouped.where((F.col("n") <= EXPAND) | (F.col("id") == F.col("first_id"))).select("id", "class")
     a, b = listed.select(F.col("id").alias("id_1"), F.col("class").alias("class_a")), listed.select(F.col("id").alias("id_2"), F.col("class").alias("class_b"))
     across = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("id_1", "id_2")
-    several = group.groupBy("class").agg(F.sum("n").alias("ids")).where("ids > 1").select("class")
-    inside = listed.join(several, "class")
-    within = inside.select(F.col("id").alias("id_1"), "class").join(inside.select(F.col("id").alias("id_2"), "class"), "class").where("id_1 < id_2").select("id_1", "id_2")
+    within = listed.select(F.col("id").alias("id_1"), "class").join(listed.select(F.col("id").alias("id_2"), "class"), "class").where("id_1 < id_2").select("id_1", "id_2")
     stars = grouped.where((F.col("n") > EXPAND) & (F.col("id") != F.col("first_id"))).select(F.col("first_id").alias("id_1"), F.col("id").alias("id_2"))
     every = across.unionByName(within).unionByName(stars)
     return every.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).where("id_a < id_b").distinct()

@@ -221,6 +221,25 @@ def test_neardup_splits_regions_and_is_empty(spark, monkeypatch, data):
     assert links.count() == 0 and members.count() == 0
 
 
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of run write for shuffles."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    listed = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(i) for found in [listed()] for i in range(found.size()))}
+    before = max(stages(), default=-1)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_neardup_writes_no_posting_once_more_for_every_region(spark, monkeypatch, data):
+    run = lambda: neardup.similar_pairs(table(spark, data, "dataset_entries").select("id", "title", "text"))
+    few = shuffled_bytes(spark, run)
+    monkeypatch.setattr(neardup, "REGION_POSTINGS", 100)
+    assert few < shuffled_bytes(spark, run) < 2.5 * few
+
+
 # Pairs
 
 
